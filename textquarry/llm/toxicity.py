@@ -228,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, least: int
     return Model(idf, sorted((r.doc_id, int(r.toxic == 1), r.i, r.w) for r in collected))
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns in keep, with score in [0, 1], toxic (score >= threshold) and evidence: the nearest examples with their similarity and label, nearest first.
+def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True) -> DataFrame:
+    """docs' columns in keep, with score in [0, 1], toxic (score >= threshold) and evidence: the nearest examples with their similarity and label, nearest first (left out where evidence is False). A column in keep that has one of these names is replaced.
 
     A row for every row of docs, repeated ones and null ids included; an example isn't its own
     evidence. A null or empty text, or one without words, has score 0, isn't toxic and has no
@@ -256,9 +256,12 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep:
                 p, s = m.index.nearest(ids, w, without)
                 cache[key] = m.calibrated(m.index.vote(p, s)) if len(p) else 0.0, [{"example": int(m.index.ids[x]), "similarity": round(float(y), 9), "toxic": int(m.index.toxic[x])} for x, y in zip(p, s)]
             found.append(cache[key])
-        evidence = pa.array([e for _, e in found], pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))
         scores = [s for s, _ in found]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_()), evidence], names=[*keep, "score", "toxic", "evidence"])
+        columns = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
+        if evidence:
+            columns.append(pa.array([e for _, e in found], pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))))
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "toxic", *(("evidence",) if evidence else ())])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, toxic boolean, evidence array<struct<example:bigint,similarity:double,toxic:int>>"
+    keep = tuple(c for c in keep if c not in ("score", "toxic", "evidence"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, toxic boolean" + (", evidence array<struct<example:bigint,similarity:double,toxic:int>>" if evidence else "")
     return map_slices(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), run, schema)
