@@ -144,7 +144,7 @@ def _pdf_string(raw: bytes) -> str:
     return out[2:].decode("utf-16-be", "replace") if out.startswith(b"\xfe\xff") else out.decode("cp1252", "replace")
 
 
-_shown = re.compile(rb"\[((?:\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*)\]\s*TJ|(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|['\"])|(T\*|Td|TD|ET)\b", re.S)
+_shown = re.compile(rb"\[((?:\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*)\]\s*TJ|(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|['\"])|(T\*|(?:Td|TD|ET)\b)", re.S)
 _strings = re.compile(rb"\(((?:[^()\\]|\\.)*)\)|<([0-9A-Fa-f\s]*)>|(-?\d+(?:\.\d+)?)", re.S)
 
 
