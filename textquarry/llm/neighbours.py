@@ -111,8 +111,10 @@ def _frame(own: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> pd.DataFram
 def _sharded(vectors: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """The vectors with their cell, shard and distance from the cell's pivot; the pivots."""
     n = vectors.count()
+    if not n:
+        return vectors.selectExpr("vec_id", "embedding", "0L cell", "0D far", "0L shard"), np.zeros((0, 0))
     wanted = min(PIVOTS, -(-n // size))
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect() if wanted else []
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
     pivots = np.array([r.embedding for r in chosen], np.float64).reshape(len(chosen), -1)
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
@@ -124,8 +126,6 @@ def _sharded(vectors: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 cells[a : a + 2048], far[a : a + 2048] = d.argmin(1), np.sqrt(d.min(1))
             yield pd.DataFrame({"vec_id": f.vec_id, "embedding": f.embedding, "cell": cells, "far": far})
 
-    if not n:
-        return vectors.selectExpr("vec_id", "embedding", "0L cell", "0D far", "0L shard"), pivots
     placed = stored(vectors.mapInPandas(place, "vec_id bigint, embedding array<double>, cell bigint, far double"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     # PIVOTS cells at most
