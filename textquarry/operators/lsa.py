@@ -26,6 +26,8 @@ from textquarry.storage import written
 
 DIMENSIONS, GRAM_DOCS, FIT_DOCS = 128, 1500, 20_000
 OVERSAMPLE, ROUNDS = 10, 15
+#: Rows of a matrix that are added together.
+BLOCK = 512
 TOP_DOCS, TOP_LINES, LEAST_SCORE, LEAST_LINE = 20, 5, 1e-8, 10
 
 
@@ -37,18 +39,23 @@ def _dense(rows: pd.DataFrame, n: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int], part) -> np.ndarray:
-    """The sum over all partitions of part(frame), added up in each worker and pairwise after."""
+    """The sum over all partitions of part(frame, total): each worker adds up its own, blocks of rows are then added on the executors, so that the driver gets one matrix."""
 
     def run(frames):
-        total = np.zeros(shape)
+        total, any_ = np.zeros(shape), False
         for f in frames:
             for a in range(0, len(f), 512):
                 part(f.iloc[a : a + 512], total)
-        yield pd.DataFrame({"m": [total.tobytes()]})
+                any_ = True
+        if any_:
+            yield pd.DataFrame({"block": range(0, shape[0], BLOCK), "m": [total[a : a + BLOCK].tobytes() for a in range(0, shape[0], BLOCK)]})
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": f.block.iloc[:1], "m": [sum(np.frombuffer(m) for m in f.m).tobytes()]})
 
     out = np.zeros(shape)
-    for row in rows.mapInPandas(run, "m binary").toLocalIterator():
-        out += np.frombuffer(row.m).reshape(shape)
+    for r in rows.mapInPandas(run, "block bigint, m binary").groupBy("block").applyInPandas(add, "block bigint, m binary").collect():
+        out[r.block : r.block + BLOCK] = np.frombuffer(r.m).reshape(-1, shape[1])
     return out
 
 

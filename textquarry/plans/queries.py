@@ -18,6 +18,7 @@ from textquarry.operators.lsa import LsaModel, semantic_search
 from textquarry.operators.projection import RandomProjection
 from textquarry.plans import render
 from textquarry.sources import cache, extract
+from textquarry.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -47,7 +48,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.from_table(_read(spark, sf_dir, "documents"))
+    return Corpus.from_table(spread(_read(spark, sf_dir, "documents")))
 
 
 def _lines(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:

@@ -22,3 +22,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores where it comes from fewer files than there are cores; filters and column choices still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() > 2 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
