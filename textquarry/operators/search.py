@@ -2,7 +2,8 @@
 
 Nothing but the corpus statistics of BM25 (one row, from one aggregation) and a requested order
 is shuffled: whole texts are ruled out before lines are cut, and context comes from the array of
-a document's lines rather than from a window.
+a document's lines rather than from a window. Arrays are exploded as outer ones, since the inner
+kind makes the optimizer compute each array twice, first to see whether it is empty.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def search(corpus: Corpus, spec: SearchSpec, stats: DataFrame | None = None) ->
         numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("line")))
         hits = docs.select("*", F.explode(F.slice(F.filter(numbered, lambda s: m.matches(s["line"])), 1, spec.max_count)).alias("h")).select("path", "bm25_score", "lines", F.col("h.i").alias("i"), F.col("h.line").alias("line_content"))
     else:
-        hits = docs.select("path", "bm25_score", "lines", F.posexplode("lines").alias("i", "line_content")).where(m.matches(F.col("line_content")))
+        hits = docs.select("path", "bm25_score", "lines", F.posexplode_outer("lines").alias("i", "line_content")).where(m.matches(F.col("line_content")))
     none = F.array().cast("array<string>")
     i = F.col("i")
     ahead = F.slice("lines", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))) if before else none
@@ -151,4 +152,4 @@ def union(results: list[DataFrame]) -> DataFrame:
 
 def numbered(corpus: Corpus) -> DataFrame:
     """(path, line_number, line): every line of the documents, as a numbered read shows them: five spaces, the number, a tab, the line."""
-    return corpus.docs.where("text IS NOT NULL").select("path", F.posexplode(lines(F.col("text"))).alias("i", "x")).select("path", (F.col("i") + 1).cast("bigint").alias("line_number"), F.concat(F.lit("     "), (F.col("i") + 1).cast("string"), F.lit("\t"), F.col("x")).alias("line"))
+    return corpus.docs.where("text <> ''").select("path", F.posexplode_outer(lines(F.col("text"))).alias("i", "x")).select("path", (F.col("i") + 1).cast("bigint").alias("line_number"), F.concat(F.lit("     "), (F.col("i") + 1).cast("string"), F.lit("\t"), F.col("x")).alias("line"))

@@ -12,7 +12,8 @@ from textquarry.functions.text import tokens
 def postings(corpus: Corpus) -> DataFrame:
     """(path, term, tf)."""
     docs = corpus.docs.where("text <> ''")
-    return docs.select("path", F.explode(tokens(F.col("text"))).alias("term")).groupBy("path", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = docs.select("path", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term IS NOT NULL")
+    return found.groupBy("path", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:
