@@ -16,7 +16,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_slices, stored
@@ -192,6 +192,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return map_slices(both, run, "u bigint, v bigint")
 
 
+def _alike_lengths(a: str, b: str, least: float) -> Column:
+    """Whether texts of so many words can be similar enough: each word that one has more is an edit."""
+    longer = F.greatest(a, b)
+    return longer - F.least(a, b) <= F.floor((1 - least) * longer + 1e-9)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with an id in ids (distinct); ids is a written table, so counting it is cheap."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -204,7 +210,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows with one doc_id are one document, with the least of their texts. Equal texts, and texts
     equal but for case, white space and marks at the words' ends, are always in one group.
     Texts of any length are sketched and aligned whole; every pair that shares a sketch is
-    verified unless other verified pairs already put both in one group. Other columns are
+    verified unless the numbers of their words rule it out or other verified pairs already put
+    both in one group. Other columns are
     ignored whatever their names. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -213,20 +220,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sig = stored(signatures(docs), "signatures")
     same = stored(sig.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "same")
     copies = stored(sig.select("doc_id", "whole").join(same, "whole").where("doc_id <> first").select("doc_id", "first"), "copies")
-    ones = sig.select("doc_id", "sketches").join(copies.select("doc_id"), "doc_id", "left_anti")
-    keys = ones.select("doc_id", F.explode("sketches").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(keys.join(buckets.select("key", "leader"), "key"), "members")
+    ones = sig.select("doc_id", "words", "sketches").join(copies.select("doc_id"), "doc_id", "left_anti")
+    keys = ones.select("doc_id", "words", F.explode("sketches").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "words")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(keys.join(buckets.select("key", F.col("l.doc_id").alias("leader"), F.col("l.words").alias("leader_words")), "key"), "members")
     texts = stored(_only(docs, stored(members.select("doc_id").distinct(), "ids")), "texts")
     # the leader of a bucket first: that puts most of a bucket in one group
-    tried = stored(members.where("doc_id <> leader").select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct(), "tried")
+    tried = stored(members.where("doc_id <> leader").where(_alike_lengths("words", "leader_words", least)).select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct(), "tried")
     edges = stored(_verified(tried, texts, least), "edges")
     label = components(edges)
-    labelled = stored(members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    labelled = stored(members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "words", F.coalesce("label", "doc_id").alias("label")), "labelled")
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = labelled.join(split, "key")
-    other = open_.select("key", F.col("doc_id").alias("v"), F.col("label").alias("label_v"))
-    rest = open_.join(other, "key").where("label <> label_v AND doc_id < v").select(F.col("doc_id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
+    other = open_.select("key", F.col("doc_id").alias("v"), F.col("label").alias("label_v"), F.col("words").alias("words_v"))
+    rest = open_.join(other, "key").where("label <> label_v AND doc_id < v").where(_alike_lengths("words", "words_v", least)).select(F.col("doc_id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
     more = stored(_verified(rest, texts, least), "edges")
     if more.limit(1).count():
         label = components(edges.union(more))
