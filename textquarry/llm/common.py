@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.storage import spread
+
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Characters of text that a Python worker holds as Python objects at once.
@@ -17,7 +19,8 @@ SLICE_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table, dealt out to all cores where its files are fewer."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
