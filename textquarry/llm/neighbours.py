@@ -39,6 +39,7 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         self.ids, self.points, self.leaf = ids, points, leaf
+        self.halves = (points * points).sum(1) / 2
         self.visited = 0
         self.root = self._build(np.arange(len(ids)))
 
@@ -60,29 +61,47 @@ class Tree:
         ids, squares = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
         limit = np.full(n, np.inf) if radius is None else radius.copy()
 
+        norms, k_all = (queries * queries).sum(1), k + (own is not None)
+
+        def keep(rows: np.ndarray, names: np.ndarray, d: np.ndarray) -> None:
+            """Merges found (query, id, squared distance) triples into the lists."""
+            order = np.lexsort((names, d, rows))
+            rows, names, d = rows[order], names[order], d[order]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            size = np.diff(np.append(first, len(rows)))
+            place = np.arange(len(rows)) - np.repeat(first, size)
+            line = np.repeat(np.arange(len(first)), size)
+            new_i, new_d = np.full((len(first), k), -1, np.int64), np.full((len(first), k), np.inf)
+            best = place < k
+            new_i[line[best], place[best]], new_d[line[best], place[best]] = names[best], d[best]
+            rows = rows[first]
+            all_d, all_i = np.concatenate([squares[rows], new_d], 1), np.concatenate([ids[rows], new_i], 1)
+            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            squares[rows], ids[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+            limit[rows] = np.minimum(limit[rows], squares[rows, -1])
+
         def leaf(points: np.ndarray, at: np.ndarray) -> None:
             for a in range(0, len(points), 4 * self.leaf):  # leaves of equal points may be large
                 part = points[a : a + 4 * self.leaf]
                 self.visited += len(part) * len(at)
-                d = np.round(squared(queries[at], self.points[part]), DECIMALS)
+                x = self.points[part]
+                # the product less half the point's norm falls as the distance grows
+                near = queries[at] @ x.T
+                near -= self.halves[part]
+                slack = 1e-9 + 1e-12 * (norms[at] + 2 * float(self.halves[part].max()))
+                least = (norms[at] - limit[at]) / 2 - slack
+                free = np.flatnonzero(~np.isfinite(limit[at]))
+                if len(free) and len(part) > k_all:
+                    least[free] = np.partition(near[free], len(part) - k_all, axis=1)[:, len(part) - k_all] - slack[free]
+                r, c = np.nonzero(near >= least[:, None])
+                rows, names = at[r], self.ids[part][c]
+                gap = queries[rows] - x[c]
+                d = np.round(np.einsum("ij,ij->i", gap, gap), DECIMALS)
+                good = d <= limit[rows]
                 if own is not None:
-                    d[self.ids[part][None] == own[at][:, None]] = np.inf
-                near = d <= limit[at][:, None]
-                hit = np.flatnonzero(near.any(1))
-                if not len(hit):
-                    continue
-                # only the columns that can matter are put in order: the k least of each row, with all ties of the last
-                rows = at[hit]
-                d = np.where(near[hit], d[hit], np.inf)
-                most = min(int(near[hit].sum(1).max()), d.shape[1])
-                names = np.broadcast_to(self.ids[part][None], d.shape)
-                if most < d.shape[1]:
-                    top = np.argpartition(d, most - 1, axis=1)[:, :most]
-                    d, names = np.take_along_axis(d, top, 1), np.take_along_axis(names, top, 1)
-                all_d, all_i = np.concatenate([squares[rows], d], 1), np.concatenate([ids[rows], names], 1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                squares[rows], ids[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-                limit[rows] = np.minimum(limit[rows], squares[rows, -1])
+                    good &= names != own[rows]
+                if good.any():
+                    keep(rows[good], names[good], d[good])
 
         def descend(node, at: np.ndarray) -> None:
             if not len(at):
