@@ -21,13 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textquarry.llm.common import map_slices
+from textquarry.llm.common import map_slices, worker_state
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before merges, as the rank files of the GPT-2 family expect.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's caches; a full cache is emptied, which costs time but changes nothing.
-CACHE = 600_000
+CACHE = 100_000
 #: Longer strings between two spaces aren't cached as a whole.
 LONGEST_CACHED = 64
 
@@ -207,9 +207,11 @@ class Encoder:
         if len(self.words) + len(missing) > CACHE:
             self.words.clear()
             missing = {w for ws in parts.values() for w in ws}
-        self.words.update(self.encode_words(missing))
-        get = self.words.__getitem__
-        return {c: b"".join(map(get, ws)) for c, ws in parts.items()}
+        new = self.encode_words(missing)
+        # a string that is one word is kept as a string alone
+        self.words.update((w, new[w]) for ws in parts.values() if len(ws) > 1 for w in ws if w in new)
+        words = self.words
+        return {c: b"".join([new[w] if w in new else words[w] for w in ws]) for c, ws in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as int32 bytes. Texts are cut at single spaces, where the pattern always starts a new word, and the cuts looked up as wholes."""
@@ -248,16 +250,9 @@ def chunks_of(text: str) -> list[str]:
 
 _single = re.compile(r"(?<!\s) (?=\S)")
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(broadcast) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
-    key = id(broadcast.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(broadcast.value)
-    return _encoders[key]
+    return worker_state("bpe", (broadcast.value,), lambda: Encoder(broadcast.value))
 
 
 def lists(parts: list[bytes | None], missing: list[bool]) -> pa.Array:

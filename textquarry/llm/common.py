@@ -15,7 +15,7 @@ from textquarry.storage import spread
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Characters of text that a Python worker holds as Python objects at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_state: dict[str, tuple] = {}
+
+
+def worker_state(name: str, owners: tuple, make: Callable[[], object]):
+    """What an operator keeps in a Python worker between batches. A worker that turns to another operator, or to other owners (broadcast values, compared by identity), drops what it kept: workers are used again and again, and their caches would add up."""
+    now = _state.get("now")
+    if now is None or now[0] != name or any(a is not b for a, b in zip(now[1], owners, strict=True)):
+        _state.clear()
+        now = _state["now"] = (name, owners, make())
+    return now[2]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Rows of the batch in runs of about SLICE_CHARS of text; a single row may be longer."""
     if not batch.num_rows:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored
+from textquarry.llm.common import map_slices, stored, worker_state
 from textquarry.llm.components import components
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, edit similarity of near duplicates.
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, whole, sketches, words) of each document with words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sketcher = _sketchers.setdefault(0, Sketcher())
+        sketcher = worker_state("near_dups", (), Sketcher)
         found = [sketcher(t or "") for t in batch.column("text").to_pylist()]
         keep = [i for i, f in enumerate(found) if f]
         flat = np.concatenate([found[i][1] for i in keep]) if keep else np.empty(0, np.int64)
@@ -173,9 +173,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, whole bigint, sketches array<bigint>, words int")
 
 
-_sketchers: dict[int, Sketcher] = {}
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The (u, v) of pairs that are similar enough."""
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v").select("u", "v", "text", "other")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored
+from textquarry.llm.common import map_slices, stored, worker_state
 
 #: Words of a passage at least, rounds, words that a symbol must stand for to be counted.
 LENGTH, ROUNDS, LEAST_WORDS = 50, 5, 3
@@ -41,17 +41,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_known: dict[str, int] = {}
-
-
 def hashes(words: list[str]) -> np.ndarray:
-    missing = [w for w in set(words) if w not in _known]
-    if len(_known) + len(missing) > CACHE:
-        _known.clear()
+    known = worker_state("repeats", (), dict)
+    missing = [w for w in set(words) if w not in known]
+    if len(known) + len(missing) > CACHE:
+        known.clear()
         missing = list(set(words))
     for w in missing:
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def recompress(symbols: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textquarry.llm.bpe import CACHE, LONGEST_CACHED, Vocabulary, chunks_of, encoder
-from textquarry.llm.common import map_slices
+from textquarry.llm.bpe import CACHE, LONGEST_CACHED, Encoder, Vocabulary, chunks_of, encoder
+from textquarry.llm.common import map_slices, worker_state
 
 #: Documents that the table of frequent pre-tokens is drawn from, and its entries at most. Both bear on speed alone: counts are the same with any table.
 TABLE_DOCS, TABLE_SIZE = 2000, 50_000
@@ -40,14 +40,12 @@ def frequent(docs: DataFrame, vocabulary: Vocabulary, table_docs: int = TABLE_DO
 class _Counts:
     """A worker's two tiers in one dictionary; the broadcast entries stay when the others are dropped."""
 
-    def __init__(self, names: str, sizes: np.ndarray):
+    def __init__(self, names: str, sizes: np.ndarray, encoder: Encoder):
+        self.encoder = encoder
         self.first = dict(zip(names.split("\0"), sizes.tolist(), strict=True)) if len(sizes) else {}
         self.known = dict(self.first)
 
 
-_counts: dict[int, _Counts] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, table: tuple[str, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, n_tokens bigint) for every row of docs.
 
@@ -59,11 +57,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, table: tuple[str, np.n
     shared, first = context.broadcast(vocabulary), context.broadcast(frequent(docs, vocabulary) if table is None else table)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = id(first.value)
-        if key not in _counts:
-            _counts.clear()
-            _counts[key] = _Counts(*first.value)
-        counts = _counts[key]
+        counts = worker_state("token_counts", (shared.value, first.value), lambda: _Counts(*first.value, Encoder(shared.value)))
         texts = batch.column("text").to_pylist()
         cut = [chunks_of(t or "") for t in texts]
         missing: set[str] = set()
@@ -74,7 +68,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, table: tuple[str, np.n
             counts.known = dict(counts.first)
             wanted = {c for c in missing if c not in counts.known}
         new = list(wanted)
-        found = dict(zip(new, (len(x) // 4 for x in encoder(shared).encode_chunks(new)), strict=True))
+        found = dict(zip(new, (len(x) // 4 for x in counts.encoder.encode_chunks(new)), strict=True))
         counts.known.update((c, n) for c, n in found.items() if len(c) <= LONGEST_CACHED)
         if any(len(c) > LONGEST_CACHED for c in new):
             known, get = counts.known, found.get

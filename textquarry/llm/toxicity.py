@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored
+from textquarry.llm.common import map_slices, stored, worker_state
 
 #: Labelled rows that the index holds at most: those first in the order of a hash of doc_id.
 EXAMPLES = 4000
@@ -238,28 +238,25 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
-    own: dict[int, tuple] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        if not own:
-            own[0] = Vectors(m.idf), {}, set(m.index.ids.tolist())
-        v, cache, examples = own[0]
+        v, cache, examples = worker_state("toxicity", (m,), lambda: (Vectors(m.idf), {}, set(m.index.ids.tolist())))
         found = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             ids, w = v.vector(text or "")
             without = doc_id if doc_id in examples else None
             key = (without, ids.tobytes(), np.round(w, 12).tobytes())
             if key not in cache:
-                if len(cache) > 100_000:
+                if len(cache) > 50_000:
                     cache.clear()
                 p, s = m.index.nearest(ids, w, without)
-                cache[key] = m.calibrated(m.index.vote(p, s)) if len(p) else 0.0, [{"example": int(m.index.ids[x]), "similarity": round(float(y), 9), "toxic": int(m.index.toxic[x])} for x, y in zip(p, s)]
+                cache[key] = m.calibrated(m.index.vote(p, s)) if len(p) else 0.0, (p, s) if evidence else None
             found.append(cache[key])
         scores = [s for s, _ in found]
         columns = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
         if evidence:
-            columns.append(pa.array([e for _, e in found], pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))))
+            columns.append(pa.array([[{"example": int(m.index.ids[x]), "similarity": round(float(y), 9), "toxic": int(m.index.toxic[x])} for x, y in zip(*e)] for _, e in found], pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))))
         return pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "toxic", *(("evidence",) if evidence else ())])
 
     keep = tuple(c for c in keep if c not in ("score", "toxic", "evidence"))
