@@ -39,6 +39,31 @@ def test_folding_in_ranks_every_document(spark, corpus):
     assert sorted(got) == list(range(6))
 
 
+def test_folded_document_without_a_fitted_term_has_score_zero(spark):
+    docs = [(i, f"common{i % 3} shared{i % 2}") for i in range(8)] + [(8 + i, f"own{i}") for i in range(8)]
+    corpus = Corpus.from_table(spark.createDataFrame(docs, "doc_id int, text string"))
+    got = {r.path: r.score for r in lsa.LsaModel.fit(corpus, 2, fit_docs=6).rank("common1 shared1").collect()}
+    assert sorted(got) == list(range(16)) and sum(s == 0 for s in got.values()) >= 2
+
+
+def test_every_document_of_a_large_corpus_is_fitted(spark):
+    n = 20_400
+    docs = [(i, f"own{i}" if i % 2 else "big" if i % 3 else "mid" if i % 5 else "small") for i in range(n)]
+    corpus = Corpus.from_table(spark.createDataFrame(docs, "doc_id int, text string"))
+    model = lsa.LsaModel.fit(corpus, 2)
+    assert model.v.shape == (n, 2) and model.doc_vectors.select("path").distinct().count() == n
+    assert model.terms.count() == n // 2 + 3
+    score = {r.path: r.score for r in model.rank("big").collect()}
+    assert len(score) == n and score[2] == pytest.approx(1, abs=1e-9)
+
+
+def test_slices_of_columns_give_the_same_terms(spark, corpus, monkeypatch):
+    model = lsa.LsaModel.fit(corpus, 3)
+    whole = {r.term: r.vec for r in model.term_vectors().collect()}
+    monkeypatch.setattr(lsa, "SLICE_BYTES", 8 * len(DOCS))
+    assert {r.term: r.vec for r in model.term_vectors().collect()} == {t: pytest.approx(v, abs=1e-12) for t, v in whole.items()}
+
+
 def test_save_and_load(spark, corpus, tmp_path):
     model = lsa.LsaModel.fit(corpus, 3)
     model.save(str(tmp_path / "m"))

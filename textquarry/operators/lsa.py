@@ -1,92 +1,150 @@
 """Latent semantic analysis: TF-IDF, truncated SVD, cosine ranking of documents and their lines.
 
-Only the right singular vectors (one row a document) and the singular values are kept. The
-factorisation works on the terms' rows, which stay distributed: up to GRAM_DOCS documents it
-sums the Gram matrix over blocks of terms, beyond that it iterates a subspace of as many columns
-as are broadcast to the terms each round. It is fitted on FIT_DOCS documents at most (those
-first in the order of a hash of their path), which bounds what is broadcast; every other
-document is folded in by projecting its terms, so that all documents are ranked.
+Only the right singular vectors (one row a document) and the singular values are kept, fitted on
+all documents. The factorisation works on the terms' rows, which stay distributed: up to
+GRAM_DOCS documents it sums the Gram matrix over blocks of terms, beyond that it iterates a subspace of as
+many columns as are broadcast to the terms each round.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType
 
 from textquarry.corpus import Corpus
 from textquarry.functions.text import lines, tokens, trimmed
 from textquarry.operators.terms import postings
-from textquarry.storage import written
+from textquarry.storage import shared_folder, written
 
-DIMENSIONS, GRAM_DOCS, FIT_DOCS = 128, 1500, 20_000
+DIMENSIONS, GRAM_DOCS = 128, 1500
 OVERSAMPLE, ROUNDS = 10, 15
+SLICE_BYTES = 1 << 26
 #: Rows of a matrix that are added together.
 BLOCK = 512
+#: Rows of V that the driver sends at once.
+VECTORS = 20_000
 TOP_DOCS, TOP_LINES, LEAST_SCORE, LEAST_LINE = 20, 5, 1e-8, 10
 
 
-def _dense(rows: pd.DataFrame, n: int) -> np.ndarray:
-    out = np.zeros((len(rows), n))
-    for i, (d, w) in enumerate(zip(rows.docs, rows.weights)):
-        out[i, d] = w
-    return out
+def _lists(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents and weights of each term."""
+    docs, weights = batch.column("docs"), batch.column("weights")
+    at = docs.offsets.to_numpy() - docs.offsets[0].as_py()
+    d, w = docs.flatten().to_numpy(), weights.flatten().to_numpy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield d[a:b], w[a:b]
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int], part) -> np.ndarray:
-    """The sum over all partitions of part(frame, total): each worker adds up its own, blocks of rows are then added on the executors, so that the driver gets one matrix."""
+    """The sum over all partitions of part(batch, total): each worker adds up its own, blocks of rows are then added on the executors, so that the driver gets one matrix."""
 
-    def run(frames):
+    def run(batches):
         total, any_ = np.zeros(shape), False
-        for f in frames:
-            for a in range(0, len(f), 512):
-                part(f.iloc[a : a + 512], total)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part(batch.slice(a, 512), total)
                 any_ = True
-        if any_:
-            yield pd.DataFrame({"block": range(0, shape[0], BLOCK), "m": [total[a : a + BLOCK].tobytes() for a in range(0, shape[0], BLOCK)]})
+        for a in range(0, shape[0], BLOCK) if any_ else ():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([a], pa.int64()), "m": pa.array([total[a : a + BLOCK].tobytes()], pa.binary())})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": f.block.iloc[:1], "m": [sum(np.frombuffer(m) for m in f.m).tobytes()]})
 
     out = np.zeros(shape)
-    for r in rows.mapInPandas(run, "block bigint, m binary").groupBy("block").applyInPandas(add, "block bigint, m binary").collect():
+    for r in rows.mapInArrow(run, "block bigint, m binary").groupBy("block").applyInPandas(add, "block bigint, m binary").collect():
         out[r.block : r.block + BLOCK] = np.frombuffer(r.m).reshape(-1, shape[1])
     return out
 
 
-def _factors(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """V (documents x k) and the singular values, greatest first."""
-    if n <= GRAM_DOCS:
+def _condensed(rows: DataFrame) -> DataFrame:
+    """(docs, weights) with the Gram matrix of rows: terms of a single document only add to its diagonal, so that a document's are one row. As many partitions as there are cores, as each has a matrix of its own."""
+    one = F.size("docs") == 1
+    single = rows.where(one).groupBy(F.col("docs")[0].alias("doc")).agg(F.sqrt(F.sum(F.col("weights")[0] * F.col("weights")[0])).alias("weight"))
+    all_ = rows.where(~one).select("docs", "weights").union(single.select(F.array("doc"), F.array("weight")))
+    return written(all_.repartition(rows.sparkSession.sparkContext.defaultParallelism), "gram")
 
-        def gram(f: pd.DataFrame, total: np.ndarray) -> None:
-            x = _dense(f, n)
-            total += x.T @ x
 
-        values, v = np.linalg.eigh(_summed(rows, (n, n), gram))
-        return v[:, ::-1][:, :k], np.sqrt(np.maximum(values[::-1][:k], 0))
+def _product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """The Gram matrix times v."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
+
+    def multiply(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        v = shared.value
+        for d, w in _lists(batch):
+            total[d] += np.outer(w, w @ v[d])
+
+    try:
+        return _summed(rows, v.shape, multiply)
+    finally:
+        shared.destroy()
+
+
+def _mapped(n: int, width: int) -> np.ndarray:
+    """A matrix in a file that is gone with it."""
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, np.float64, "w+", shape=(n, width))
+
+
+def _iterated(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest eigenvalues of the Gram matrix, greatest first, and their vectors, by subspace iteration."""
     width = min(n, k + OVERSAMPLE)
     v = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((n, width)))[0]
     for _ in range(ROUNDS):
-        shared = rows.sparkSession.sparkContext.broadcast(v)
-
-        def multiply(f: pd.DataFrame, total: np.ndarray) -> None:
-            for d, w in zip(f.docs, f.weights):
-                total[d] += np.outer(w, w @ shared.value[d])
-
-        y = _summed(rows, (n, width), multiply)
+        y = _product(rows, v)
         small = v.T @ y
         v, before = np.linalg.qr(y)[0], v
-        shared.unpersist()
         if np.linalg.norm(before.T @ v @ (v.T @ before) - np.eye(width)) < 1e-9:
             break
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    v = before @ turn
-    return v[:, ::-1][:, :k], np.sqrt(np.maximum(values[::-1][:k], 0))
+    return values[::-1][:k], (before @ turn)[:, ::-1][:, :k]
+
+
+def _factors(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """V (documents x k) and the singular values, greatest first."""
+    if n <= GRAM_DOCS:
+
+        def gram(batch: pa.RecordBatch, total: np.ndarray) -> None:
+            x = np.zeros((batch.num_rows, n))
+            for i, (d, w) in enumerate(_lists(batch)):
+                x[i, d] = w
+            total += x.T @ x
+
+        values, v = np.linalg.eigh(_summed(rows, (n, n), gram))
+        values, v = values[::-1][:k], v[:, ::-1][:, :k]
+    else:
+        values, v = _iterated(_condensed(rows), n, k)
+    return v, np.sqrt(np.maximum(values, 0))
+
+
+def _numbered(paths: DataFrame) -> DataFrame:
+    """(path, doc): doc counts from 0 in the order of the paths."""
+    rows = written(paths.orderBy("path").select("path", F.monotonically_increasing_id().alias("m")), "order").select("path", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("place"))
+    starts, total = [], 0
+    for r in sorted(rows.groupBy("part").count().collect()):
+        starts.append((r.part, total))
+        total += r["count"]
+    return written(rows.join(F.broadcast(paths.sparkSession.createDataFrame(starts, "part bigint, start bigint")), "part").select("path", (F.col("start") + F.col("place")).alias("doc")), "numbered")
+
+
+def _table(spark, v: np.ndarray) -> DataFrame:
+    """(doc, vec) of a matrix's rows, written in runs of rows so that the driver never holds them all."""
+    path = f"{shared_folder(spark)}/tables/v-{uuid.uuid4().hex}"
+    for a in range(0, len(v), VECTORS):
+        m = np.ascontiguousarray(v[a : a + VECTORS])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+        spark.createDataFrame(pa.table({"doc": pa.array(np.arange(a, a + len(m))), "vec": lists}), "doc bigint, vec array<double>").write.mode("append").parquet(path)
+    return spark.read.schema("doc bigint, vec array<double>").parquet(path)
 
 
 @dataclass
@@ -99,28 +157,30 @@ class LsaModel:
     sigma: np.ndarray
 
     @classmethod
-    def fit(cls, corpus: Corpus, k: int = DIMENSIONS, fit_docs: int = FIT_DOCS) -> LsaModel:
+    def fit(cls, corpus: Corpus, k: int = DIMENSIONS, fit_docs: int | None = None) -> LsaModel:
+        """On all documents; with fit_docs on so many of them, those first in the order of a hash of their path, and the others are folded in (at zero if they have no term of those)."""
         spark = corpus.docs.sparkSession
         docs = corpus.docs.where("text <> ''")
         post = written(postings(corpus), "postings")
         n_docs = docs.count()
         df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") < n_docs)
         idf = df.select("term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf"))
-        fitted = docs.select("path").orderBy(F.xxhash64("path"), "path").limit(fit_docs).toPandas().path if n_docs > fit_docs else docs.select("path").orderBy("path").toPandas().path
-        paths = spark.createDataFrame(pd.DataFrame({"path": fitted, "doc": np.arange(len(fitted), dtype=np.int64)}), post.select("path").schema.add("doc", LongType())) if len(fitted) else post.select("path").limit(0).selectExpr("path", "0L doc")
+        n = n_docs if fit_docs is None else min(n_docs, fit_docs)
+        paths = _numbered(docs.select("path") if n == n_docs else docs.select("path").orderBy(F.xxhash64("path"), "path").limit(n))
         weighed = post.join(idf, "term").select("path", "term", (F.col("tf") * F.col("idf")).alias("weight"), "idf")
-        numbered = weighed.join(F.broadcast(paths), "path")
+        numbered = weighed.join(paths, "path")
         grouped = numbered.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("doc", "weight")).alias("p"))
         rows = written(grouped.select("term", "idf", F.col("p.doc").alias("docs"), F.col("p.weight").alias("weights")), "terms")
-        k = min(k, len(fitted))
-        v, sigma = _factors(rows, len(fitted), k) if k else (np.zeros((0, 0)), np.zeros(0))
+        k = min(k, n)
+        v, sigma = _factors(rows, n, k) if k else (np.zeros((0, 0)), np.zeros(0))
         model = cls(post.select("path").limit(0).select("path", F.array().cast("array<double>").alias("vec")), rows, v, sigma)
         if k:
-            vectors = spark.createDataFrame(pd.DataFrame({"doc": np.arange(len(fitted)), "vec": v.tolist()}), "doc bigint, vec array<double>")
-            model.doc_vectors = paths.join(vectors, "doc").select("path", "vec")
-            if n_docs > len(fitted):
-                rest = weighed.join(F.broadcast(paths.select("path")), "path", "left_anti")
-                model.doc_vectors = model.doc_vectors.union(model._folded(rest))
+            model.doc_vectors = paths.join(_table(spark, v), "doc").select("path", "vec")
+            if n < n_docs:
+                rest = docs.select("path").join(paths, "path", "left_anti")
+                folded = model._folded(weighed.join(paths, "path", "left_anti"))
+                zero = F.array_repeat(F.lit(0.0), k)
+                model.doc_vectors = model.doc_vectors.union(rest.join(folded, "path", "left").select("path", F.coalesce("vec", zero).alias("vec")))
         return model
 
     @property
@@ -130,16 +190,25 @@ class LsaModel:
         return np.where(self.sigma > max(least, 1e-7 * (self.sigma[0] if len(self.sigma) else 0)), 1 / np.maximum(self.sigma, 1e-300), 0)
 
     def term_vectors(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, idf, vec): rows of U, of the given terms alone if there are any."""
-        shared = self.terms.sparkSession.sparkContext.broadcast((self.v, self.inverse))
+        """(term, idf, vec): rows of U, of the given terms alone if there are any. V is broadcast in slices of columns."""
+        rows = self.terms if terms is None else written(self.terms.join(terms.select("term").distinct(), "term", "left_semi"), "terms")
+        k = len(self.sigma)
+        step = max(1, SLICE_BYTES // (8 * max(1, len(self.v))))
+        slices = [self._sliced(rows, i, a, a + step) for i, a in enumerate(range(0, max(k, 1), step))]
+        if len(slices) == 1:
+            return slices[0].select("term", "idf", "vec")
+        whole = reduce(DataFrame.union, slices).groupBy("term").agg(F.first("idf").alias("idf"), F.array_sort(F.collect_list(F.struct("i", "vec"))).alias("p"))
+        return whole.select("term", "idf", F.flatten("p.vec").alias("vec"))
+
+    def _sliced(self, rows: DataFrame, i: int, a: int, b: int) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(self.v[:, a:b]), self.inverse[a:b]))
 
         def run(frames):
             v, inverse = shared.value
             for f in frames:
-                yield pd.DataFrame({"term": f.term, "idf": f.idf, "vec": [(w @ v[d]) * inverse for d, w in zip(f.docs, f.weights)]})
+                yield pd.DataFrame({"term": f.term, "idf": f.idf, "i": i, "vec": [(w @ v[d]) * inverse for d, w in zip(f.docs, f.weights)]})
 
-        rows = self.terms if terms is None else self.terms.join(terms.select("term").distinct(), "term", "left_semi")
-        return rows.mapInPandas(run, "term string, idf double, vec array<double>")
+        return rows.mapInPandas(run, "term string, idf double, i int, vec array<double>")
 
     def _folded(self, weighed: DataFrame) -> DataFrame:
         """(path, vec) of documents from their (path, term, weight)."""
@@ -152,10 +221,11 @@ class LsaModel:
         """The text's place in the space: its known terms' tf * idf through U, over sigma."""
         spark = self.terms.sparkSession
         words = spark.range(1).select(F.explode(tokens(F.lit(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-        found = self.term_vectors(words).join(F.broadcast(words), "term").collect()
+        found = self.terms.join(F.broadcast(words), "term").select("tf", "idf", "docs", "weights").toArrow()
         q = np.zeros(len(self.sigma))
-        for r in found:
-            q += r.tf * r.idf * np.array(r.vec)
+        for batch in found.to_batches():
+            for tf, idf, (d, w) in zip(batch.column("tf").to_pylist(), batch.column("idf").to_pylist(), _lists(batch)):
+                q += tf * idf * (w @ self.v[d]) * self.inverse
         return q * self.inverse
 
     def rank(self, text: str) -> DataFrame:
@@ -176,12 +246,18 @@ class LsaModel:
         self.doc_vectors.write.parquet(f"{path}/doc_vectors")
         self.terms.write.parquet(f"{path}/terms")
         spark = self.terms.sparkSession
-        spark.createDataFrame([(json.dumps(self.sigma.tolist()), json.dumps(self.v.shape), bytearray(np.ascontiguousarray(self.v).tobytes()))], "sigma string, shape string, v binary").write.parquet(f"{path}/factors")
+        spark.createDataFrame([(json.dumps(self.sigma.tolist()), json.dumps(self.v.shape))], "sigma string, shape string").write.parquet(f"{path}/factors")
+        for a in range(0, max(len(self.v), 1), VECTORS):
+            spark.createDataFrame([(a, bytearray(np.ascontiguousarray(self.v[a : a + VECTORS]).tobytes()))], "start bigint, m binary").write.mode("append").parquet(f"{path}/v")
 
     @classmethod
     def load(cls, spark, path: str) -> LsaModel:
         row = spark.read.parquet(f"{path}/factors").first()
-        return cls(spark.read.parquet(f"{path}/doc_vectors"), spark.read.parquet(f"{path}/terms"), np.frombuffer(bytes(row.v)).reshape(json.loads(row.shape)), np.array(json.loads(row.sigma)))
+        n, k = json.loads(row.shape)
+        v = _mapped(n, k) if n * k else np.zeros((n, k))
+        for r in spark.read.parquet(f"{path}/v").toLocalIterator():
+            v[r.start : r.start + VECTORS] = np.frombuffer(bytes(r.m)).reshape(-1, k)
+        return cls(spark.read.parquet(f"{path}/doc_vectors"), spark.read.parquet(f"{path}/terms"), v, np.array(json.loads(row.sigma)))
 
 
 def semantic_search(corpus: Corpus, query: str, model: LsaModel | None = None, top_docs: int = TOP_DOCS, top_lines: int = TOP_LINES) -> DataFrame:
