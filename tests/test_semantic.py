@@ -57,6 +57,28 @@ def test_every_document_of_a_large_corpus_is_fitted(spark):
     assert len(score) == n and score[2] == pytest.approx(1, abs=1e-9)
 
 
+def test_iterated_vectors_equal_the_exact_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.minimum(rng.zipf(1.25, (2500, 40)), 6000)
+    corpus = Corpus.from_table(spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(words)], "doc_id int, text string"))
+    got = []
+    for gram in (3000, 1500):
+        monkeypatch.setattr(lsa, "GRAM_DOCS", gram)
+        model = lsa.LsaModel.fit(corpus)
+        got.append((model.v, model.sigma, {r.path: r.score for r in model.rank("w3 w17 w40").collect()}))
+    (v, sigma, exact), (u, other, scores) = got
+    assert other == pytest.approx(sigma, rel=1e-7) and np.linalg.norm(v.T @ u) ** 2 == pytest.approx(128, abs=1e-6)
+    assert max(abs(exact[i] - scores[i]) for i in exact) < 1e-4
+
+
+def test_fit_that_does_not_converge_raises(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lsa, "GRAM_DOCS", 0)
+    monkeypatch.setattr(lsa, "WIDTH", 1)
+    monkeypatch.setattr(lsa, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="not converged"):
+        lsa.LsaModel.fit(corpus, 3)
+
+
 def test_slices_of_columns_give_the_same_terms(spark, corpus, monkeypatch):
     model = lsa.LsaModel.fit(corpus, 3)
     whole = {r.term: r.vec for r in model.term_vectors().collect()}

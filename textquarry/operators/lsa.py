@@ -2,8 +2,10 @@
 
 Only the right singular vectors (one row a document) and the singular values are kept, fitted on
 all documents. The factorisation works on the terms' rows, which stay distributed: up to
-GRAM_DOCS documents it sums the Gram matrix over blocks of terms, beyond that it iterates a subspace of as
-many columns as are broadcast to the terms each round.
+GRAM_DOCS documents it sums the Gram matrix over blocks of terms, beyond that it runs block
+Lanczos with thick restarts until all wanted vectors have converged, and raises if they don't.
+What is broadcast and added up in a round is SLICE_BYTES at most (or one number a document, if
+that's more); the driver keeps its basis in a mapped file.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from textquarry.operators.terms import postings
 from textquarry.storage import shared_folder, written
 
 DIMENSIONS, GRAM_DOCS = 128, 1500
-OVERSAMPLE, ROUNDS = 10, 15
+#: Vectors that a round adds to the basis, vectors of the basis before a restart (at least twice those wanted), rounds after which fitting fails.
+WIDTH, BASIS, ROUNDS = 32, 512, 300
+#: Wanted vectors have converged when each residual is below this share of the greatest eigenvalue.
+TOLERANCE = 1e-10
 SLICE_BYTES = 1 << 26
 #: Rows of a matrix that are added together.
 BLOCK = 512
@@ -96,18 +101,55 @@ def _mapped(n: int, width: int) -> np.ndarray:
         return np.memmap(f, np.float64, "w+", shape=(n, width))
 
 
-def _iterated(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k greatest eigenvalues of the Gram matrix, greatest first, and their vectors, by subspace iteration."""
-    width = min(n, k + OVERSAMPLE)
-    v = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((n, width)))[0]
+def _lanczos(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest eigenvalues of the Gram matrix, greatest first, and their vectors."""
+    width = max(1, min(n, WIDTH, SLICE_BYTES // (8 * n)))
+    most = min(n, max(BASIS, 2 * k + 2 * width))
+    basis = _mapped(n, most)
+    x = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((n, width)))[0]
+    basis[:, :width] = x
+    small, dim, step = np.zeros((0, 0)), width, 4096
+
+    def turned(turn: np.ndarray, to: np.ndarray) -> None:
+        for a in range(0, n, step):
+            to[a : a + step, : turn.shape[1]] = basis[a : a + step, :dim] @ turn
+
     for _ in range(ROUNDS):
-        y = _product(rows, v)
-        small = v.T @ y
-        v, before = np.linalg.qr(y)[0], v
-        if np.linalg.norm(before.T @ v @ (v.T @ before) - np.eye(width)) < 1e-9:
-            break
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return values[::-1][:k], (before @ turn)[:, ::-1][:, :k]
+        y = _product(rows, x)
+        own = basis[:, :dim]
+        h = own.T @ y
+        y -= own @ h
+        again = own.T @ y
+        y -= own @ again
+        h += again
+        grown = np.zeros((dim, dim))
+        grown[: len(small), : len(small)] = small
+        grown[:, dim - x.shape[1] :] = h
+        grown[dim - x.shape[1] :, :] = h.T
+        small = grown
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        x_next, r = np.linalg.qr(y)
+        # the basis times small is the Gram matrix times the basis but for its last columns, which miss x_next @ r
+        left = np.linalg.norm(r @ turn[dim - x.shape[1] :], axis=0) if dim < n else np.zeros(dim)
+        if dim >= k and (left[:k] <= TOLERANCE * max(values[0], 0.0)).all():
+            v = _mapped(n, k)
+            turned(turn[:, :k], v)
+            return values[:k], v
+        width = min(x.shape[1], n - dim)
+        if dim + width > most:
+            keep = min(dim, max(k + (most - k) // 3, k))
+            turned(turn[:, :keep], basis)
+            small, dim = np.diag(values[:keep]), keep
+        # where the basis is invariant, x_next has directions that are no longer orthogonal to it
+        own = basis[:, :dim]
+        for _ in range(2):
+            x_next -= own @ (own.T @ x_next)
+            x_next = np.linalg.qr(x_next)[0]
+        x = x_next[:, :width]
+        basis[:, dim : dim + width] = x
+        dim += width
+    raise RuntimeError(f"LSA: {int((left[:k] > TOLERANCE * values[0]).sum())} of {k} singular vectors have not converged in {ROUNDS} rounds")
 
 
 def _factors(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +165,7 @@ def _factors(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         values, v = np.linalg.eigh(_summed(rows, (n, n), gram))
         values, v = values[::-1][:k], v[:, ::-1][:, :k]
     else:
-        values, v = _iterated(_condensed(rows), n, k)
+        values, v = _lanczos(_condensed(rows), n, k)
     return v, np.sqrt(np.maximum(values, 0))
 
 
