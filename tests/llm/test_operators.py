@@ -212,6 +212,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == set(parent) - set(got)
 
 
+def test_near_duplicates_of_short_texts_are_found_at_the_threshold(spark):
+    r, pairs = random.Random(8), []
+    for n in range(5, 30):
+        for kind in range(12):
+            w = [f"w{n}x{kind}x{i}" for i in range(n)]
+            v, edits = list(w), n // 5
+            for place, e in enumerate(sorted(r.sample(range(n), edits), reverse=True)):
+                # substitutions alone, or insertions and deletions in turn, which keep the length
+                if kind % 2 or edits < 2:
+                    v[e] = f"new{n}x{kind}x{e}"
+                elif place % 2:
+                    v.insert(e, f"new{n}x{kind}x{e}")
+                else:
+                    del v[e]
+            if near_dups.similar(w, v) is not None:
+                pairs.append((w, v))
+    docs = [(2 * i + j, " ".join(p[j])) for i, p in enumerate(pairs) for j in (0, 1)]
+    got = {r.doc_id: r.kept_doc_id for r in near_dups.near_duplicates(frame(spark, docs)).collect()}
+    assert len(pairs) > 250 and got == {2 * i + 1: 2 * i for i in range(len(pairs))}
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     assert near_dups.near_duplicates(odd).count() == 0
     out = near_dups.without_near_duplicates(odd)

@@ -4,7 +4,10 @@ A document's k-mers are runs of K words, each labelled with how often it occurre
 sketch takes the ORDER k-mers with the least hashes and keeps them in the order of the text, so
 that two documents agree on a sketch with a chance that falls with their edit distance, not
 just with the words they share. Documents that agree on any of SKETCHES sketches are
-candidates; an alignment of words within the band that the least similarity allows verifies them.
+candidates, and so is every pair that can be similar enough and whose shorter text has fewer than
+SHORT words: cut into one piece more than the edits allowed, it has a piece in common with the
+other, near the same place. An alignment of words within the band that the least similarity
+allows verifies candidates.
 Groups are the connected components of verified candidates.
 """
 
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from textquarry.llm.components import components
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, edit similarity of near duplicates.
 K, ORDER, SKETCHES, SIMILARITY = 3, 2, 24, 0.8
+#: Pairs whose shorter text has fewer words are found exactly.
+SHORT = 30
 #: A set of ids is broadcast up to this size; beyond it a join shuffles.
 BROADCAST_IDS = 1_000_000
 CACHE = 500_000
@@ -159,6 +165,63 @@ def similar(a: list[str], b: list[str], least: float = SIMILARITY) -> float | No
     return None if d is None else 1 - d / longer
 
 
+def _edits(words: int, least: float) -> int:
+    """The most edits between texts of which the longer has so many words."""
+    return int((1 - least) * words + 1e-9)
+
+
+def _longest(words: int, least: float) -> int:
+    """The most words of a text that can be similar enough to a text of so many."""
+    longest = words
+    while longest + 1 - words <= _edits(longest + 1, least):
+        longest += 1
+    return longest
+
+
+@cache
+def _pieces(words: int, least: float) -> list[tuple[int, int]]:
+    """Start and end of the pieces of a text of so many words: one more than its edits to any longer text."""
+    n = _edits(_longest(words, least), least) + 1
+    return [(i * words // n, (i + 1) * words // n) for i in range(n)]
+
+
+def short_keys(w: np.ndarray, least: float = SIMILARITY) -> tuple[list[int], list[int]]:
+    """Keys of the pieces of a text (from its words' hashes), and of the runs of its words that can be a piece of a text no longer than it. Of two similar texts, the longer has one of the shorter's pieces among its runs, if the shorter has fewer than SHORT words."""
+
+    def key(a: int, b: int, words: int, i: int) -> int:
+        return xxhash.xxh3_64_intdigest(w[a:b].tobytes(), seed=words * SHORT + i) - (1 << 63)
+
+    n, most = len(w), _edits(len(w), least)
+    own = [key(a, b, n, i) for i, (a, b) in enumerate(_pieces(n, least))] if n < SHORT else []
+    runs = set()
+    for words in range(max(1, n - most), min(n, SHORT - 1) + 1):
+        more = n - words
+        for i, (a, b) in enumerate(_pieces(words, least)):
+            # words moved by s take |s| edits before the piece and |s - more| behind it
+            for start in range(max(0, a - (most - more) // 2), min(n - (b - a), a + (most + more) // 2) + 1):
+                runs.add(key(start, start + b - a, words, i))
+    return own, list(runs)
+
+
+def _short_pairs(docs: DataFrame, least: float) -> DataFrame:
+    """(u, v), u < v: the pairs of short documents that have a piece in common."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sketcher = worker_state("near_dups", (), Sketcher)
+        ids, keys, own = [], [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            pieces, runs = short_keys(sketcher.hashes(text), least)
+            ids += [doc_id] * (len(pieces) + len(runs))
+            keys += pieces + runs
+            own += [True] * len(pieces) + [False] * len(runs)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.bool_())], names=["doc_id", "key", "own"])
+
+    keys = stored(map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, key bigint, own boolean"), "short_keys")
+    pieces = keys.where("own").select("key", F.col("doc_id").alias("a"))
+    runs = keys.where("NOT own").select("key", F.col("doc_id").alias("b"))
+    return pieces.join(runs, "key").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, whole, sketches, words) of each document with words."""
 
@@ -206,8 +269,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Documents without words (null, empty, marks alone) and rows with a null id are in no group.
     Rows with one doc_id are one document, with the least of their texts. Equal texts, and texts
     equal but for case, white space and marks at the words' ends, are always in one group.
-    Texts of any length are sketched and aligned whole; every pair that shares a sketch is
-    verified unless the numbers of their words rule it out or other verified pairs already put
+    Texts of any length are sketched and aligned whole; every pair that shares a sketch, or a
+    piece where the shorter text has fewer than SHORT words, is verified unless the numbers of their words rule it out or other verified pairs already put
     both in one group. Other columns are
     ignored whatever their names. An empty table gives an empty one.
     """
@@ -221,9 +284,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     keys = ones.select("doc_id", "words", F.explode("sketches").alias("key"))
     buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "words")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keys.join(buckets.select("key", F.col("l.doc_id").alias("leader"), F.col("l.words").alias("leader_words")), "key"), "members")
-    texts = stored(_only(docs, stored(members.select("doc_id").distinct(), "ids")), "texts")
+    short = stored(ones.where(F.col("words") <= _longest(SHORT - 1, least)).select("doc_id"), "short")
+    pairs = stored(_short_pairs(_only(docs, short), least), "short_pairs")
+    ids = members.select("doc_id").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    texts = stored(_only(docs, stored(ids, "ids")), "texts")
     # the leader of a bucket first: that puts most of a bucket in one group
-    tried = stored(members.where("doc_id <> leader").where(_alike_lengths("words", "leader_words", least)).select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).distinct(), "tried")
+    led = members.where("doc_id <> leader").where(_alike_lengths("words", "leader_words", least)).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
+    tried = stored(led.union(pairs).distinct(), "tried")
     edges = stored(_verified(tried, texts, least), "edges")
     label = components(edges)
     labelled = stored(members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "words", F.coalesce("label", "doc_id").alias("label")), "labelled")
