@@ -14,6 +14,7 @@ import base64
 import re
 from collections import deque
 from collections.abc import Iterable
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -21,14 +22,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textquarry.llm.common import map_slices, worker_state
+from textquarry.llm.common import Generations, map_slices, worker_state
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before merges, as the rank files of the GPT-2 family expect.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's caches; a full cache is emptied, which costs time but changes nothing.
-CACHE = 100_000
-#: Longer strings between two spaces aren't cached as a whole.
+#: Entries of a generation of a worker's cache, and of what it remembers of pairs and steps. They bear on time alone.
+CACHE, PAIRS = 150_000, 400_000
+#: Tokens that are decoded at once.
+RUN = 200_000
+#: Longer strings between two spaces aren't cached.
 LONGEST_CACHED = 64
 
 
@@ -64,103 +67,100 @@ class Encoder:
     """Built once in a worker from a Vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.ranks, self.token = vocabulary.ranks, vocabulary.token
-        self.find = regex.compile(vocabulary.pattern).findall
-        self.split: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
+        self.ranks, self.cut = vocabulary.ranks, regex.compile(vocabulary.pattern).findall
+        size = max(self.ranks.values(), default=-1) + 1
+        #: The two tokens that a token is merged from; a token that no merge gives is its own halves.
+        self.first, self.second = list(range(size)), list(range(size))
+        #: The token that merges two: left << 20 | right.
+        self.joined: dict[int, int] = {}
+        #: Tokens that merges reach; others never occur.
+        reached = []
         for word, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
-            parts = merge(word, self.ranks, rank) if len(word) > 1 else [word]
-            if len(parts) == 2:
+            if len(word) == 1:
+                reached.append((word, rank))
+            elif len(parts := merge(word, self.ranks, rank)) == 2:
                 a, b = self.ranks[parts[0]], self.ranks[parts[1]]
-                self.split[rank], self.joined[a, b] = (a, b), rank
-            else:
-                self.split[rank] = (rank, rank)
-        #: Tokens that merges reach; others never occur.
-        self.reached = {i for i, (a, b) in self.split.items() if a != i or len(self.token[i]) == 1}
-        self.lengths = {i: len(b) for i, b in self.token.items()}
-        self.packed = {i: i.to_bytes(4, "little") for i in self.token}
-        self._automaton()
-        self.step: dict[int, int] = {}
+                self.first[rank], self.second[rank], self.joined[a << 20 | b] = a, b, rank
+                reached.append((word, rank))
+        self.lengths, self.packed = [0] * size, [b""] * size
+        for word, rank in self.ranks.items():
+            self.lengths[rank], self.packed[rank] = len(word), rank.to_bytes(4, "little")
+        self._automaton(reached)
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _automaton(self) -> None:
-        goto: list[dict[int, int]] = [{}]
-        ends = [-1]
+        #: Encodings of strings with a single space before them, the space included, and of strings that start a text.
+        self.known, self.starts = Generations(CACHE, LONGEST_CACHED), Generations(CACHE // 8, LONGEST_CACHED)
+        # bytes of the tokens one after another, for decoding
+        parts = [b""] * size
         for word, rank in self.ranks.items():
-            if rank not in self.reached:
-                continue
+            parts[rank] = word
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array(self.lengths, np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def _automaton(self, reached: list[tuple[bytes, int]]) -> None:
+        """step: the state after a state and a byte (state << 8 | byte), by the trie of the tokens at first; found: the tokens that end in a state with their lengths, longest first."""
+        step: dict[int, int] = {}
+        ends, edges = [-1], [[]]
+        for word, rank in reached:
             at = 0
             for byte in word:
-                after = goto[at].get(byte)
+                after = step.get(at << 8 | byte)
                 if after is None:
-                    after = goto[at][byte] = len(goto)
-                    goto.append({})
+                    after = step[at << 8 | byte] = len(ends)
+                    edges[at].append((byte, after))
                     ends.append(-1)
+                    edges.append([])
                 at = after
             ends[at] = rank
-        fail, shorter = [0] * len(goto), [-1] * len(goto)
-        queue = deque(goto[0].values())
+        fail, pair = [0] * len(ends), [(t, self.lengths[t]) for t in range(len(self.lengths))]
+        found: list[tuple] = [()] * len(ends)
+        queue = deque([0])
         while queue:
             at = queue.popleft()
-            for byte, after in goto[at].items():
+            for byte, after in edges[at]:
                 back = fail[at]
-                while back and byte not in goto[back]:
+                while back and back << 8 | byte not in step:
                     back = fail[back]
-                fail[after] = goto[back].get(byte, 0) if after != goto[back].get(byte) else 0
+                fail[after] = step.get(back << 8 | byte, 0) if at else 0
+                found[after] = (pair[ends[after]], *found[fail[after]]) if ends[after] >= 0 else found[fail[after]]
                 queue.append(after)
-            shorter[at] = fail[at] if ends[fail[at]] >= 0 else shorter[fail[at]]
-        self.goto, self.fail = goto, fail
-        #: The tokens that end in a state, longest first.
-        found: list[tuple[tuple[int, int], ...]] = []
-        for at in range(len(goto)):
-            here, state = [], at
-            while state > 0:
-                if ends[state] >= 0:
-                    here.append((ends[state], self.lengths[ends[state]]))
-                state = shorter[state]
-            found.append(tuple(here))
-        self.found = found
-
-    def _fit(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the two tokens apart: their merges are undone from the last one back, and no pair across the border may have come first."""
-        limit = 1 << 40
-        joined, split = self.joined, self.split
-        while True:
-            if joined.get((left, right), limit) < limit:
-                return False
-            if left > right:
-                limit = left
-                left = split[left][1]
-                if left == limit:
-                    limit = right + 1
-                    right = split[right][0]
-                    if right + 1 == limit:
-                        return True
-            else:
-                limit = right + 1
-                right = split[right][0]
-                if right + 1 == limit:
-                    limit = left
-                    left = split[left][1]
-                    if left == limit:
-                        return True
+        self.step, self.fail, self.found, self.trie = step, fail, found, len(step)
 
     def _step(self, state: int, byte: int) -> int:
-        goto, fail, at = self.goto, self.fail, state
-        while at and byte not in goto[at]:
-            at = fail[at]
-        after = self.step[state << 8 | byte] = goto[at].get(byte, 0)
+        """By failure links; remembered in step."""
+        step, at = self.step, state
+        while at and at << 8 | byte not in step:
+            at = self.fail[at]
+        after = step[state << 8 | byte] = step.get(at << 8 | byte, 0)
         return after
 
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether BPE leaves the two tokens apart. At any moment of the merging the border lies between a last part of `left` and a first part of `right`, each until the merge that takes it in; the two stay apart unless such a pair has a merge that comes before both of these (of equal ranks the merge further left comes first)."""
+        joined, first, second = self.joined, self.first, self.second
+        x, x_ends = left, 1 << 40
+        while True:
+            y, y_ends = right, 1 << 40
+            while True:
+                rank = joined.get(x << 20 | y)
+                if rank is not None and (when := max(rank, x, y)) < x_ends and when <= y_ends:
+                    return False
+                if first[y] == y:
+                    break
+                y, y_ends = first[y], y
+            if second[x] == x:
+                return True
+            x, x_ends = second[x], x
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Each distinct word's token ids as the bytes of an int32 array."""
-        found, fits, packed, step, lengths = self.found, self.fits, self.packed, self.step, self.lengths
-        if len(fits) > CACHE:
-            fits.clear()
-        if len(step) > CACHE:
-            step.clear()
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        if len(self.step) > self.trie + PAIRS:
+            for key in list(self.step)[self.trie :]:
+                del self.step[key]
+        found, packed, lengths, fit, step_on = self.found, self.packed, self.lengths, self._fit, self._step
+        fits, step = self.fits, self.step
+        known, after = fits.get, step.get
         out: dict[str, bytes] = {}
         last, states, before = [-1], [0], b""
         for raw, word in sorted([(w.encode(), w) for w in words]):
@@ -171,84 +171,80 @@ class Encoder:
             state, i = states[same], same
             for byte in raw[same:]:
                 i += 1
-                state = step[key] if (key := state << 8 | byte) in step else self._step(state, byte)
+                now = after(state << 8 | byte)
+                state = step_on(state, byte) if now is None else now
                 states.append(state)
                 for t, n in found[state]:
                     if n == i:
                         break
                     key = last[i - n] << 20 | t
-                    if key in fits:
-                        if fits[key]:
-                            break
-                    else:
-                        ok = fits[key] = self._fit(key >> 20, t)
-                        if ok:
-                            break
+                    ok = known(key)
+                    if ok is None:
+                        ok = fits[key] = fit(last[i - n], t)
+                    if ok:
+                        break
                 last.append(t)
             before = raw
-            ids = []
-            while i:
+            t = last[i]
+            ids = [packed[t]]
+            while i := i - lengths[t]:
                 t = last[i]
                 ids.append(packed[t])
-                i -= lengths[t]
             ids.reverse()
             out[word] = b"".join(ids)
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each of some strings that chunks_of() cut, without keeping them."""
-        found = self._learn(set(chunks))
-        return [found[c] for c in chunks]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encodings of strings that hold no run of white space at their ends beyond one space."""
-        parts = {c: self.find(c) for c in chunks}
-        missing = {w for ws in parts.values() for w in ws if w not in self.words}
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-            missing = {w for ws in parts.values() for w in ws}
-        new = self.encode_words(missing)
-        # a string that is one word is kept as a string alone
-        self.words.update((w, new[w]) for ws in parts.values() if len(ws) > 1 for w in ws if w in new)
-        words = self.words
-        return {c: b"".join([new[w] if w in new else words[w] for w in ws]) for c, ws in parts.items()}
+    def spaced(self, strings: list[str]) -> list[bytes]:
+        """The ids of each of some distinct strings with a space before them."""
+        return self._cut([" " + s for s in strings])
+
+    def _cut(self, strings: list[str]) -> list[bytes]:
+        """The ids of each of some strings, through their words; of those that start with a space the cache is asked."""
+        parts = list(map(self.cut, strings))
+        get, new, have = self.known.get, set(), {}
+        for string, words in zip(strings, parts):
+            for w in words:
+                if w not in new and w not in have:
+                    # a word that is its whole string was looked for before
+                    old = get(w[1:]) if len(w) < len(string) and w[0] == " " else None
+                    if old is None:
+                        new.add(w)
+                    else:
+                        have[w] = old
+        have.update(self.encode_words(new))
+        return [have[words[0]] if len(words) == 1 else b"".join([have[w] for w in words]) for words in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as int32 bytes. Texts are cut at single spaces, where the pattern always starts a new word, and the cuts looked up as wholes."""
+        """Each text's ids as int32 bytes."""
         cut = [chunks_of(t) for t in texts]
-        known = self.chunks
-        missing: set[str] = set()
-        for c in cut:
-            missing.update(c)
-        missing = {c for c in missing if c not in known}
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            for c in cut:
-                missing.update(c)
-        long = {c for c in missing if len(c) > LONGEST_CACHED}
-        known.update(self._learn(missing - long))
-        if not long:
-            get = known.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        extra = self._learn(long)
-        return [b"".join([known.get(x) or extra.get(x, b"") for x in c]) for c in cut]
+        begin = self.starts.find([c[0] for c in cut], self._cut)
+        rest = self.known.find([x for c in cut for x in islice(c, 1, None)], self.spaced)
+        out, at = [], 0
+        for c, head in zip(cut, begin):
+            n = len(c) - 1
+            out.append(b"".join([head, *rest[at : at + n]]))
+            at += n
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+        """The bytes of the tokens, gathered in runs so that the indexes stay small."""
+        out = []
+        for a in range(0, len(ids), RUN):
+            own = ids[a : a + RUN]
+            size = self.size[own]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.at[own] - ends + size, size)].tobytes())
+        return b"".join(out)
 
 
 _runs = re.compile(r"\s\s").search
+_single = re.compile(r"(?<!\s) (?=\S)").split
 
 
 def chunks_of(text: str) -> list[str]:
-    """Strings that join to the text and that the pattern treats apart: cut before each single space; a text with runs of white space is cut where a space follows none and precedes none."""
-    if _runs(text) is None:
-        parts = text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
-    return _single.sub("\x00 ", text).split("\x00") if "\x00" not in text else [text]
-
+    """The text cut at single spaces, at which the pattern always starts a new word; all but the first of the strings have lost such a space."""
+    return text.split(" ") if _runs(text) is None and text[:1] != " " and text[-1:] != " " else _single(text)
 
-_single = re.compile(r"(?<!\s) (?=\S)")
 
 def encoder(broadcast) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
@@ -264,25 +260,38 @@ def lists(parts: list[bytes | None], missing: list[bool]) -> pa.Array:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns in keep, with tokens array<int>, n_tokens int and round_trip: whether decoding gives the text's bytes again.
+    """docs' columns in keep, with tokens array<int>, n_tokens int and round_trip: whether decoding gives the text's bytes again. A column in keep that has one of these names is replaced.
 
     One output row per input row, repeated rows and null ids included; other columns, whatever
     their names, are ignored. A null text has null tokens, n_tokens and round_trip; an empty
-    text has an empty list, 0 and true. Texts of any length are encoded whole. An empty table
-    gives an empty one. No shuffle: words are encoded in the worker that reads them.
+    text has an empty list, 0 and true. Texts of any length are encoded whole. Of merges of equal
+    rank the leftmost comes first. An empty table gives an empty one. No shuffle: words are
+    encoded in the worker that reads them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens array<int>, n_tokens int, round_trip boolean"
+    keep = tuple(c for c in keep if c not in ("tokens", "n_tokens", "round_trip"))
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["tokens array<int>", "n_tokens int", "round_trip boolean"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(shared)
         texts = batch.column("text").to_pylist()
         missing = [t is None for t in texts]
         parts = e.encode([t or "" for t in texts])
-        same = [None if t is None else e.decode(np.frombuffer(p, np.int32)) == t.encode() for t, p in zip(texts, parts, strict=True)]
-        count = pa.array([None if m else len(p) // 4 for m, p in zip(missing, parts, strict=True)], pa.int32())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists(parts, missing), count, pa.array(same, pa.bool_())], names=[*keep, "tokens", "n_tokens", "round_trip"])
+        tokens = lists(parts, missing)
+        counts = np.array([len(p) // 4 for p in parts], np.int64)
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        raw = [(t or "").encode() for t in texts]
+        back, sizes = e.decode(ids), np.concatenate([[0], np.cumsum(e.size[ids])])
+        ends = np.cumsum(counts)
+        size = sizes[ends] - sizes[ends - counts]
+        if np.array_equal(size, [len(r) for r in raw]) and back == b"".join(raw):
+            same = [True] * len(raw)
+        else:
+            at = np.cumsum(size) - size
+            same = [back[a : a + n] == r for a, n, r in zip(at.tolist(), size.tolist(), raw)]
+        mask = np.array(missing, bool)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), tokens, pa.array(counts.astype(np.int32), mask=mask), pa.array(np.array(same, bool), mask=mask)], names=[*keep, "tokens", "n_tokens", "round_trip"])
 
     return map_slices(docs.select(*keep, *(() if "text" in keep else ("text",))), run, schema)
 
@@ -296,7 +305,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, column: str = "tokens", ke
     def run(batches):
         for batch in batches:
             token = shared.value.token
-            texts = [None if x is None else b"".join([token[i] for i in x]).decode("utf-8", "replace") for x in batch.column(column).to_pylist()]
+            texts = [None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return tokens.select(*keep, column).mapInArrow(run, schema)

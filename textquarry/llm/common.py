@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +16,8 @@ from textquarry.storage import spread
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Characters of text that a Python worker holds as Python objects at once.
 SLICE_CHARS = 1_000_000
+#: Whether a query's shuffle files are dropped at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,23 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset and Spark is local (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="textquarry-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and it outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: its lineage is cut and it outlives executors. Shuffle files behind it go once it's written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _state: dict[str, tuple] = {}
@@ -55,6 +65,35 @@ def worker_state(name: str, owners: tuple, make: Callable[[], object]):
     return now[2]
 
 
+class Generations:
+    """A bounded cache in two generations: a full young one becomes the old one, whose entries go unless they are asked for again. So what is frequent stays, and no more than twice `limit` entries are kept. Keys longer than `longest` aren't kept."""
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.limit, self.longest = limit, longest
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        return self.old.get(key) if found is None else found
+
+    def find(self, keys: list[str], make: Callable[[list[str]], Iterable]) -> list:
+        """The value of each key, never None; make gives those of keys that aren't kept, distinct ones in one call."""
+        out = list(map(self.young.get, keys))
+        missing = {k for k, v in zip(keys, out) if v is None}
+        if not missing:
+            return out
+        kept = self.old.get
+        found = {k: v for k in missing if (v := kept(k)) is not None}
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young = self.young, {}
+        fresh = [k for k in missing if k not in found] if found else list(missing)
+        found.update(zip(fresh, make(fresh), strict=True))
+        longest = self.longest
+        self.young.update((k, v) for k, v in found.items() if len(k) <= longest)
+        return [found[k] if v is None else v for k, v in zip(keys, out)]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Rows of the batch in runs of about SLICE_CHARS of text; a single row may be longer."""
     if not batch.num_rows:
