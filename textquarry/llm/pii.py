@@ -7,9 +7,10 @@ borders and the word before it. Training maximises the likelihood of segmentatio
 sentences by the semi-Markov forward-backward sums; decoding is the dynamic programme over all
 segmentations, which chooses borders and types jointly.
 
-An entity holds a digit or an @ by definition, so the sums run only over stretches of text
-within MOST atoms of such a character; elsewhere every segment is outside, at score zero, and
-the best segmentation of the text is the best of each stretch.
+An entity holds a digit, an @ or a known prefix of keys by definition (keys and passwords of
+letters alone without such a prefix are none), so decoding runs only over stretches of text within
+MOST atoms of such a trigger; elsewhere every segment is outside, at score zero, and the best
+segmentation of the text is the best of each stretch.
 """
 
 from __future__ import annotations
@@ -33,17 +34,18 @@ MOST = 19
 #: Sentences, rounds and seed of the training, which uses no table.
 SENTENCES, ROUNDS, SEED = 600, 60, 11
 
-_trigger = re.compile(r"[0-9@]+")
+_trigger = re.compile(r"[0-9@]+|A[KS]IA|sk_live_|gh[pousr]_")
 _atom = re.compile(r"[^\W_]+|\s|[\W_]")
 _possible = {
     "EMAIL": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     "PHONE": re.compile(r"[+(]?\d[\d ().-]{5,}\d"),
     "IP": re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){2,7}"),
     "CARD": re.compile(r"\d(?:[ -]?\d){12,18}"),
-    "SECRET": re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}"),
+    "SECRET": re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}|A[KS]IA[A-Z2-7]{16}|sk_live_[A-Za-z]{16,}|gh[pousr]_[A-Za-z]{30,}"),
     "SSN": re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}"),
     "IBAN": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
 }
+_run_end = re.compile(r"[^\W_]*\Z").search
 _long_hex = re.compile(r"[0-9a-f]+|[0-9A-F]+").fullmatch
 
 
@@ -102,7 +104,8 @@ def candidates(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, i
     ends = {b: i + 1 for i, (_, b) in enumerate(spans)}
     for kind, pattern in _possible.items():
         for a, i in starts.items():
-            if text[a].isspace() or not (m := pattern.match(text, a)):
+            # no further than an entity can go, so that long runs of marks and digits stay linear
+            if text[a].isspace() or not (m := pattern.match(text, a, spans[min(i + MOST, len(spans)) - 1][1])):
                 continue
             for j in range(i + 1, min(i + MOST, len(spans)) + 1):
                 b = spans[j - 1][1]
@@ -112,19 +115,40 @@ def candidates(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, i
                     yield i, j, kind
 
 
+def _back(text: str, at: int) -> int:
+    """Where the atom that ends before text[at] starts."""
+    if not text[at - 1].isalnum():
+        return at - 1
+    step = 32
+    while True:
+        part = text[max(0, at - step) : at]
+        run = len(part) - len(_run_end(part).group())
+        if run or step >= at:
+            return max(0, at - step) + run
+        step *= 4
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Character ranges around digits and @, cut at atoms' borders, wide enough for any entity and its context."""
+    """Character ranges around triggers, at atoms' borders, MOST atoms wide on both sides: no entity of at most MOST atoms with a trigger in it lies across their borders, however long its words are."""
     lo = hi = -1
     for m in _trigger.finditer(text):
         a, b = m.span()
-        if a > hi + 100:
+        if b <= hi and a < solid:
+            continue  # in an atom that was looked at
+        for n in range(MOST):
+            if a <= max(hi, 0):
+                break
+            a = _back(text, a)
+        inside = _atom.match(text, m.end() - 1)
+        solid = b = inside.end() if inside else b
+        for n in range(MOST - 1):
+            if b >= len(text):
+                break
+            b = _atom.match(text, b).end()
+        if a > hi:
             if hi >= 0:
                 yield lo, hi
             lo = a
-            while lo and a - lo < 200 and not (text[lo - 1].isspace() and a - lo > 60):
-                lo -= 1
-        while b < len(text) and b - m.end() < 200 and not (text[b].isspace() and b - m.end() > 60):
-            b += 1
         hi = max(hi, b)
     if hi >= 0:
         yield lo, hi
@@ -161,7 +185,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int
         "PHONE": lambda: rng.choice((f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{rng.randint(1, 99)}{digits(10)}", f"{digits(3)}.{digits(3)}.{digits(4)}")),
         "IP": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)) if rng.random() < 0.9 else ":".join(hexes(4) for _ in range(8)),
         "CARD": card,
-        "SECRET": lambda: rng.choice((hexes(40), hexes(32), hexes(64), "sk_live_" + "".join(rng.choice(plain + plain.upper() + "0123456789") for _ in range(24)) + digits(1), "AKIA" + "".join(rng.choice(plain.upper() + "234567") for _ in range(15)) + digits(1), "ghp_" + "".join(rng.choice(plain + "0123456789") for _ in range(36)))),
+        "SECRET": lambda: rng.choice((hexes(40), hexes(32), hexes(64), "sk_live_" + "".join(rng.choice(plain + plain.upper() + "0123456789") for _ in range(24)), "AKIA" + "".join(rng.choice(plain.upper() + "234567") for _ in range(16)), "ghp_" + "".join(rng.choice(plain + "0123456789") for _ in range(36)))),
         "SSN": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "IBAN": iban,
     }
@@ -248,7 +272,7 @@ def model(sentences: int = SENTENCES, rounds: int = ROUNDS, seed: int = SEED) ->
 
 
 def best(text: str, weights: dict[str, float], lo: int = 0, hi: int | None = None) -> list[tuple[int, int, str, float]]:
-    """(start, end, type, score) of the entities in the best segmentation of text[lo:hi]; features may look beyond it. Of equal segmentations the one with fewer entities wins, then the first found."""
+    """(start, end, type, score) of the entities in the best segmentation of text[lo:hi]; features may look beyond it. Of equal scores, up to each place, the segmentation that leaves the last atom outside wins, then the one whose last entity was found first: by type in the order of _possible, then by the earlier start."""
     hi = len(text) if hi is None else hi
     spans = [m.span() for m in _atom.finditer(text, lo, hi)]
     by_end: dict[int, list[tuple[int, str, float]]] = defaultdict(list)
@@ -282,7 +306,8 @@ def find_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
     Null and empty texts and texts without entities have no row; an empty table gives an empty
     one. A repeated row is reported as often as it occurs, a null id stays null. Whole texts
-    are searched at any length; other columns are ignored whatever their names.
+    are searched, at any length of texts and of words. Of segmentations of equal score the one
+    that best() names wins. Other columns are ignored whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model() if weights is None else weights)
 
