@@ -120,6 +120,34 @@ def test_extracted_and_cache(spark, tree, tmp_path_factory):
     assert sorted((r.text or "") for r in got) == ["", "from the cache"]
 
 
+def test_cache_is_written_through(spark, tree, tmp_path_factory):
+    """A miss is extracted and put, a hit counts as used again, a changed file misses."""
+    cache = ExtractCache(str(tmp_path_factory.mktemp("cache") / "c"), 10_000)
+    corpus = lambda: {os.path.basename(r.path): r.text for r in Corpus.from_path(spark, str(tree), cache).docs.collect()}
+    plain = {os.path.basename(r.path): r.text for r in Corpus.from_path(spark, str(tree)).docs.collect()}
+    assert corpus() == plain
+    kept = {r.sha256: r for r in cache.table(spark).collect()}
+    binary = {n: d for n, (d, kind, _) in CASES.items() if kind not in ("text", "unknown")}
+    assert {cache.key(d) for d in binary.values()} == set(kept)
+    cache.put(spark.createDataFrame([(cache.key(binary["a.docx"]), "kept")], "sha256 string, text string"))
+    (tree / "a.xlsx").write_bytes(zipped(**{"xl__sharedStrings.xml": "<sst><si><t>new</t></si></sst>"}))
+    assert corpus() == {**plain, "a.docx": "kept", "a.xlsx": "new"}
+    again = {r.sha256: r for r in cache.table(spark).collect()}
+    assert len(again) == len(kept) + 1 and again[cache.key(binary["a.docx"])].last_used > kept[cache.key(binary["a.docx"])].last_used
+    stale = cache.key(binary["a.xlsx"])
+    assert again[stale].last_used == kept[stale].last_used
+
+
+def test_trees_are_cut_by_bytes_and_entries(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        (tmp_path / f"f{i:02d}").write_bytes(b"x" * 10)
+    reader = filetree._Reader({"path": str(tmp_path)})
+    monkeypatch.setattr(filetree, "BYTES", 35)
+    assert [len(p.rows) for p in reader.partitions()] == [3, 3, 3, 3]
+    monkeypatch.setattr(filetree, "ENTRIES", 2)
+    assert [len(p.rows) for p in reader.partitions()] == [2] * 6
+
+
 def test_cache_evicts_the_oldest(spark, tmp_path):
     rows = [(f"k{i}", 10, i) for i in (1, 2, 3, 4)]
     kept = newest_that_fit(spark.createDataFrame(rows, "k string, size bigint, t int"), "k", "t", 30)
@@ -167,6 +195,22 @@ def test_find_fd_cat(spark, tree):
     assert run(spark, tree, "sed").exit_code == 200
 
 
+def test_what_is_not_served(spark, tree):
+    assert run(spark, tree, "rg", "-U", "needle", "src/main.rs").exit_code == 0
+    assert run(spark, tree, "rg", "-U", r"needle\s+other", "src").exit_code == 200 and run(spark, tree, "rg", "-U", "--multiline-dotall", "a.b").exit_code == 200
+    assert run(spark, tree, "rg", "-t", "nothing", "needle").exit_code == 2
+    out = commands.dispatch(spark, "rg", ["needle"], str(tree), max_results=2)
+    assert len(out.stdout.splitlines()) == 2 and "2 results" in out.stderr
+
+
+def test_search_command(spark, tree):
+    assert run(spark, tree, "search", "needle", "src/main.rs").stdout == f"{os.path.realpath(tree)}/src/main.rs:2:    needle();\n"
+    assert run(spark, tree, "search").exit_code == 2 and run(spark, tree, "search", "--what", "x").exit_code == 2
+    # a single file is searched line by line
+    assert run(spark, tree, "search", "needle", "src/main.rs", "--semantic").stdout.endswith("needle();\n")
+    assert run(spark, tree, "search", "main function", ".", "--semantic").exit_code == 0
+
+
 def test_parsers():
     a = commands.parse_rg(["--bm25=full", "-i", "-s", "--context=2", "-A", "x", "p", "q", "r"])
     assert (a.bm25, a.ignore_case, a.before, a.after, a.pattern, a.paths) == ("full", False, 2, 2, "p", ["q"])

@@ -1,12 +1,14 @@
 """Command-style front-ends: arguments to specifications, specifications to what a terminal shows.
 
 What can't be served gives exit code 200, so that a caller may run the real tool. The DataFrame
-API is the primary one; here results are collected for display, within MAX_RESULTS lines.
+API is the primary one; here results are collected for display, within max_results lines, beyond
+which stderr says so.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,7 @@ class SearchArgs:
     fixed: bool = False
     word: bool = False
     multiline: bool = False
+    dotall: bool = False
     filename: bool = True
     before: int = 0
     after: int = 0
@@ -117,7 +120,7 @@ def parse_rg(argv: list[str]) -> SearchArgs | None:
             case "fixed-strings":
                 out.fixed = True
             case "multiline" | "multiline-dotall":
-                out.multiline = True
+                out.multiline, out.dotall = True, out.dotall or name == "multiline-dotall"
             case "context":
                 context = _number(value)
             case "before-context":
@@ -215,6 +218,14 @@ def parse_fd(argv: list[str]) -> dict | None:
     return _typed(out)
 
 
+_newline = re.compile(r"\n|\\[nsrSWDNPHVRXx0-9]|\[\^|\[\[:|\(\?[a-z]*s")
+
+
+def _spans_lines(args: SearchArgs) -> bool:
+    """Whether a multi-line pattern may match a line feed; such a search isn't served."""
+    return "\n" in args.pattern if args.fixed else bool(_newline.search(args.pattern)) or args.dotall and "." in args.pattern
+
+
 def _missing(command: str, path: str, code: int) -> Response:
     return Response(code, "", f"{command}: {path}: No such file or directory")
 
@@ -234,15 +245,19 @@ def _limited(corpus: Corpus, args: SearchArgs) -> Corpus:
     return replace(corpus, docs=docs)
 
 
-def _shown(df: DataFrame, *order: str) -> str:
-    return "".join(r.line + "\n" for r in df.orderBy(*order).limit(MAX_RESULTS).select("line").collect())
+def _shown(df: DataFrame, most: int, *order: str) -> tuple[str, str]:
+    """What goes to stdout and to stderr."""
+    rows = df.orderBy(*order).limit(most + 1).select("line").collect()
+    return "".join(r.line + "\n" for r in rows[:most]), f"output ends after {most} results\n" if len(rows) > most else ""
 
 
-def _line_search(spark: SparkSession, command: str, args: SearchArgs, cwd: str, cache) -> Response:
+def _line_search(spark: SparkSession, command: str, args: SearchArgs, cwd: str, cache, most: int) -> Response:
     try:
         _ = args.spec.matcher
     except PatternError as e:
         return Response(2, "", f"{command}: {e}")
+    if args.type is not None and args.type not in TYPES:
+        return Response(2, "", f"{command}: unrecognized file type: {args.type}")
     corpora = []
     for p in args.paths:
         path = os.path.join(cwd, p)
@@ -254,7 +269,7 @@ def _line_search(spark: SparkSession, command: str, args: SearchArgs, cwd: str,
             if error is not None:
                 return Response(2, "", f"{command}: {path}: {error}")
         corpora.append(_limited(corpus, args))
-    if args.semantic:
+    if args.semantic and not all(c.single_file for c in corpora):  # one file has nothing to be ranked against
         rows = [r.asDict() for c in corpora for r in semantic_search(c, args.pattern).collect()]
         if not rows:
             return Response(1, "", f"No semantically relevant files found for '{args.pattern}'. Try more specific terms or leave --semantic out.\n")
@@ -263,15 +278,15 @@ def _line_search(spark: SparkSession, command: str, args: SearchArgs, cwd: str,
     number = lambda df, k: df.withColumn("k", F.lit(k))
     if args.count and not args.json and not (command == "grep" and args.files):
         found = s.union([s.counts(c, spec) for c in corpora]).groupBy("path").agg(F.sum("n").alias("n"))
-        out = _shown(found.select("path", F.concat_ws(":", *([F.col("path")] if args.filename else []), F.col("n").cast("string")).alias("line")), "path")
+        out, err = _shown(found.select("path", F.concat_ws(":", *([F.col("path")] if args.filename else []), F.col("n").cast("string")).alias("line")), most, "path")
     elif args.files and not args.json:
         found = s.union([s.paths_with_matches(c, spec) for c in corpora]).distinct()
-        out = _shown(found.select("path", F.col("path").alias("line")), "path")
+        out, err = _shown(found.select("path", F.col("path").alias("line")), most, "path")
     else:
         found = s.union([number(s.search(c, spec), k) for k, c in enumerate(corpora)])
         shown = render.match_json(found.drop("k")) if args.json else render.match_text(found.drop("k"), args.line_numbers, args.filename)
-        out = _shown(shown, "path", "line_number")
-    return Response(0, out) if out else Response(1)
+        out, err = _shown(shown, most, "path", "line_number")
+    return Response(0, out, err) if out else Response(1)
 
 
 def _find(spark: SparkSession, command: str, args: dict, cwd: str) -> Response:
@@ -308,12 +323,20 @@ def _cat(args: list[str], cwd: str) -> Response:
     return Response(0, "".join(out))
 
 
-def dispatch(spark: SparkSession, command: str, args: list[str], cwd: str = ".", cache=None) -> Response:
-    """Runs rg, grep, find, fd or cat with its arguments."""
+def dispatch(spark: SparkSession, command: str, args: list[str], cwd: str = ".", cache=None, max_results: int = MAX_RESULTS) -> Response:
+    """Runs rg, grep, find, fd, cat or search (pattern, path and --semantic alone) with its arguments."""
     cwd = os.path.abspath(cwd)
     if command in ("rg", "grep"):
         parsed = parse_rg(args) if command == "rg" else parse_grep(args)
-        return fallback(f"unsupported {command} flags") if parsed is None else _line_search(spark, command, parsed, cwd, cache)
+        if parsed is None or parsed.multiline and _spans_lines(parsed):
+            return fallback(f"unsupported {command} flags")
+        return _line_search(spark, command, parsed, cwd, cache, max_results)
+    if command == "search":
+        names = [a for a in args if a != "--semantic"]
+        if not 1 <= len(names) <= 2 or any(n.startswith("-") for n in names):
+            return Response(2, "", "usage: search <pattern> [path] [--semantic]\n")
+        parsed = SearchArgs(names[0], names[1:] or ["."], line_numbers=True, semantic="--semantic" in args)
+        return _line_search(spark, "search", parsed, cwd, cache, max_results)
     if command in ("find", "fd"):
         own = parse_find(args) if command == "find" else parse_fd(args)
         if own is None:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.schema import DOCS
+from textquarry.storage import written
 
 #: Extensions of text files, without the dot.
 TEXT = frozenset(
@@ -193,22 +194,77 @@ def extract(name: str, data: bytes, strict: bool = False) -> str:
     return _readers[kind](data)
 
 
+#: Characters of text that are passed on together.
+TOGETHER = 8_000_000
+_EXTRACTED = ("path", "size", "file_type", "text", "extract_error")
+
+
+def _batches(rows: Iterator[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows, whose fourth value is a text, as batches of a bounded size (a single text may be longer)."""
+    own, size = [], 0
+    for row in rows:
+        own.append(row)
+        size += len(row[3] or "")
+        if size > TOGETHER or len(own) == 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], names=list(names))
+            own, size = [], 0
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], names=list(names))
+
+
+def _read(path: str, name: str, cached: bool) -> tuple[str, str | None, str | None, str | None]:
+    """File type, text, error and, for formats that a cache keeps, the hash of the bytes; such a file's text is left to later."""
+    kind = "unknown"
+    try:
+        with open(path, "rb") as f:
+            data = f.read()
+        kind = detect(name, data[:16])
+        if cached and data and kind != "text":
+            return kind, None, None, hashlib.sha256(data).hexdigest()
+        return kind, extract(name, data), None, None
+    except (ExtractError, OSError) as e:
+        return kind, None, str(e), None
+
+
 def extracted(files: DataFrame, cache=None) -> DataFrame:
-    """path, size, file_type, text and extract_error of the files; text is null where there is an error. cache: an ExtractCache, whose texts stand in for the extraction of binary formats."""
-    known = None if cache is None else cache.lookup(files.sparkSession)
+    """path, size, file_type, text and extract_error of the files; text is null where there is an error.
+
+    cache: an ExtractCache. Files of binary formats are looked up in it by the hash of their
+    bytes, in a join; those it lacks are extracted and put into it, those it has count as just used. That
+    happens at the call, whose result is a written table.
+    """
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, name, size in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "size"))):
-                kind, text, error = "unknown", None, None
-                try:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                    kind = detect(name, data[:16])
-                    text = known.value.get(hashlib.sha256(data).hexdigest()) if known is not None and kind != "text" and data else None
-                    text = extract(name, data) if text is None else text
-                except (ExtractError, OSError) as e:
-                    error = str(e)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64()), "file_type": pa.array([kind]), "text": pa.array([text], pa.string()), "extract_error": pa.array([error], pa.string())})
-
-    return files.select("path", "name", "size").mapInArrow(run, DOCS)
+        def rows():
+            for batch in batches:
+                for path, name, size in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "size"))):
+                    kind, text, error, key = _read(path, name, cache is not None)
+                    yield path, size, kind, text, error, key
+
+        n = 5 if cache is None else 6
+        yield from _batches((r[:n] for r in rows()), (*_EXTRACTED, "sha256")[:n], kinds[:n])
+
+    if cache is None:
+        return files.select("path", "name", "size").mapInArrow(run, DOCS)
+    spark = files.sparkSession
+    keyed = files.select("path", "name", "size").mapInArrow(run, "path string, size bigint, file_type string, text string, extract_error string, sha256 string")
+    found = keyed.join(cache.table(spark).select("sha256", F.col("text").alias("kept")), "sha256", "left")
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for path, size, kind, text, error, key, kept in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key is not None and kept is None:
+                        _, kept, error, _ = _read(path, path.rpartition("/")[2], False)
+                        yield path, size, kind, kept, error, key, False
+                    else:
+                        yield path, size, kind, text if key is None else kept, error, key, None if key is None else True
+
+        yield from _batches(rows(), (*_EXTRACTED, "sha256", "hit"), (*kinds, pa.bool_()))
+
+    columns = found.select(*_EXTRACTED, "sha256", "kept")
+    out = written(columns.mapInArrow(missing, "path string, size bigint, file_type string, text string, extract_error string, sha256 string, hit boolean"), "extracted")
+    cache.put(out.where("NOT hit AND text IS NOT NULL").groupBy("sha256").agg(F.first("text").alias("text")))
+    cache.touch(spark, out.where("hit").select("sha256").distinct())
+    return out.select(*_EXTRACTED)

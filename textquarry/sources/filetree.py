@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from textquarry.schema import FILES
 
 IGNORE_FILES = (".gitignore", ".ignore")
-#: Entries of a partition.
-ENTRIES = 20_000
+#: Entries of a partition and bytes of its files at most; a larger file is one of its own.
+ENTRIES, BYTES = 5_000, 64 << 20
 
 
 def _rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -118,8 +118,15 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(f"{options['path']}: No such file or directory")
 
     def partitions(self) -> list[InputPartition]:
-        rows = list(walk(self.root, self.gitignore))
-        return [_Entries(rows[i : i + ENTRIES]) for i in range(0, len(rows), ENTRIES)] or [_Entries([])]
+        out, size = [_Entries([])], 0
+        for row in walk(self.root, self.gitignore):
+            own = 0 if row[4] else row[2]
+            if out[-1].rows and (len(out[-1].rows) == ENTRIES or size + own > BYTES):
+                out.append(_Entries([]))
+                size = 0
+            out[-1].rows.append(row)
+            size += own
+        return out
 
     def read(self, partition: _Entries) -> Iterator[tuple]:
         yield from partition.rows

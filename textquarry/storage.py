@@ -9,19 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir, or, where it is unset and Spark is local, as in tests, a folder of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether a query's shuffle files are dropped at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder. Shuffle files behind it go once it's written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
