@@ -31,12 +31,12 @@ from textquarry.storage import shared_folder, written
 
 DIMENSIONS, GRAM_DOCS = 128, 1500
 #: Vectors that a round adds to the basis, vectors of the basis before a restart (at least twice those wanted), rounds after which fitting fails.
-WIDTH, BASIS, ROUNDS = 32, 512, 300
+WIDTH, BASIS, ROUNDS = 64, 768, 300
 #: Wanted vectors have converged when each residual is below this share of the greatest eigenvalue.
 TOLERANCE = 1e-10
 SLICE_BYTES = 1 << 26
-#: Rows of a matrix that are added together.
-BLOCK = 512
+#: Rows of a matrix that are added together; terms and, about, weights that are multiplied together.
+BLOCK, TERMS, WEIGHTS = 512, 4096, 100_000
 #: Rows of V that the driver sends at once.
 VECTORS = 20_000
 TOP_DOCS, TOP_LINES, LEAST_SCORE, LEAST_LINE = 20, 5, 1e-8, 10
@@ -51,14 +51,26 @@ def _lists(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield d[a:b], w[a:b]
 
 
+def _sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of terms of about WEIGHTS weights: where each term starts, documents, weights."""
+    docs, weights = batch.column("docs"), batch.column("weights")
+    at = docs.offsets.to_numpy().astype(np.int64) - docs.offsets[0].as_py()
+    d, w = docs.flatten().to_numpy(), weights.flatten().to_numpy()
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + WEIGHTS, side="right")) - 1)
+        yield at[i:j] - at[i], d[at[i] : at[j]], w[at[i] : at[j]]
+        i = j
+
+
 def _summed(rows: DataFrame, shape: tuple[int, int], part) -> np.ndarray:
     """The sum over all partitions of part(batch, total): each worker adds up its own, blocks of rows are then added on the executors, so that the driver gets one matrix."""
 
     def run(batches):
         total, any_ = np.zeros(shape), False
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part(batch.slice(a, 512), total)
+            for a in range(0, batch.num_rows, TERMS):
+                part(batch.slice(a, TERMS), total)
                 any_ = True
         for a in range(0, shape[0], BLOCK) if any_ else ():
             yield pa.RecordBatch.from_pydict({"block": pa.array([a], pa.int64()), "m": pa.array([total[a : a + BLOCK].tobytes()], pa.binary())})
@@ -86,8 +98,14 @@ def _product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
 
     def multiply(batch: pa.RecordBatch, total: np.ndarray) -> None:
         v = shared.value
-        for d, w in _lists(batch):
-            total[d] += np.outer(w, w @ v[d])
+        for at, d, w in _sparse(batch):
+            w = w[:, None]
+            y = np.repeat(np.add.reduceat(w * v[d], at), np.diff(np.append(at, len(d))), axis=0)
+            # added up by document
+            order = np.argsort(d, kind="stable")
+            own = d[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            total[own[first]] += np.add.reduceat((w * y)[order], first)
 
     try:
         return _summed(rows, v.shape, multiply)
@@ -157,10 +175,11 @@ def _factors(rows: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= GRAM_DOCS:
 
         def gram(batch: pa.RecordBatch, total: np.ndarray) -> None:
-            x = np.zeros((batch.num_rows, n))
-            for i, (d, w) in enumerate(_lists(batch)):
-                x[i, d] = w
-            total += x.T @ x
+            for a in range(0, batch.num_rows, BLOCK):
+                x = np.zeros((min(BLOCK, batch.num_rows - a), n))
+                for i, (d, w) in enumerate(_lists(batch.slice(a, BLOCK))):
+                    x[i, d] = w
+                total += x.T @ x
 
         values, v = np.linalg.eigh(_summed(rows, (n, n), gram))
         values, v = values[::-1][:k], v[:, ::-1][:, :k]
@@ -248,16 +267,31 @@ class LsaModel:
         def run(frames):
             v, inverse = shared.value
             for f in frames:
-                yield pd.DataFrame({"term": f.term, "idf": f.idf, "i": i, "vec": [(w @ v[d]) * inverse for d, w in zip(f.docs, f.weights)]})
+                yield pd.DataFrame({"term": f.term, "idf": f.idf, "i": i, "vec": pd.Series([(w @ v[d]) * inverse for d, w in zip(f.docs, f.weights)], dtype=object)})
 
         return rows.mapInPandas(run, "term string, idf double, i int, vec array<double>")
 
     def _folded(self, weighed: DataFrame) -> DataFrame:
         """(path, vec) of documents from their (path, term, weight)."""
-        parts = weighed.join(self.term_vectors().select("term", "vec"), "term").select("path", F.posexplode("vec").alias("i", "x"), "weight")
-        sums = parts.groupBy("path", "i").agg(F.sum(F.col("x") * F.col("weight")).alias("x")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-        scale = F.array(*(F.lit(float(x)) for x in self.inverse))
-        return sums.select("path", F.zip_with(F.col("p.x"), scale, lambda x, y: x * y).alias("vec"))
+        parts = weighed.join(self.term_vectors().select("term", "vec"), "term").select("path", "weight", "vec")
+        inverse = self.inverse
+
+        def run(batches):
+            """Sums of a batch's rows by document, so that fewer vectors are shuffled."""
+            for batch in batches:
+                x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1) * batch.column("weight").to_numpy()[:, None]
+                keys = batch.column("path").dictionary_encode()
+                at = keys.indices.to_numpy()
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else np.empty(0, np.int64)
+                sums = np.add.reduceat(x[order], first) * inverse if len(at) else x
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(inverse)), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(at[order][first])), lists], names=["path", "vec"])
+
+        schema = parts.select("path", "vec").schema
+        zero = F.array_repeat(F.lit(0.0), len(inverse))
+        rows = parts.repartition("path").sortWithinPartitions("path").mapInArrow(run, schema)
+        return rows.groupBy("path").agg(F.collect_list("vec").alias("all")).select("path", F.aggregate("all", zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)).alias("vec"))
 
     def project(self, text: str) -> np.ndarray:
         """The text's place in the space: its known terms' tf * idf through U, over sigma."""

@@ -14,6 +14,8 @@ from textquarry.functions.text import plain_tokens
 from textquarry.functions.vectors import cosine
 
 _rows: dict[tuple[int, int, int], np.ndarray] = {}
+#: Bytes of rows that a process keeps; words whose rows are added up together.
+ROWS_BYTES, WORDS = 64 << 20, 20_000
 
 
 def fnv1a(term: str) -> int:
@@ -36,7 +38,7 @@ class RandomProjection:
         """The term's row, whose entries have variance 1 / dim. The same in every process."""
         key = (self.seed, self.dim, fnv1a(term) % self.buckets)
         if key not in _rows:
-            if len(_rows) > 200_000:
+            if len(_rows) * self.dim * 8 > ROWS_BYTES:
                 _rows.clear()
             _rows[key] = np.random.Generator(np.random.PCG64([self.seed, key[2]])).standard_normal(self.dim) / np.sqrt(self.dim)
         return _rows[key]
@@ -47,13 +49,39 @@ class RandomProjection:
             out += self.row(w)
         return out
 
+    def vectors(self, words: pa.ListArray) -> np.ndarray:
+        """A row for each list of words, null ones at zero: the sums of the rows of their distinct words, in order, times how often each occurs, so that a text's vector doesn't depend on those beside it. Long lists are cut into runs."""
+        out = np.zeros((len(words), self.dim))
+        flat, size = words.flatten(), words.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(size)
+        i = 0
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + WORDS, side="right")))
+            begin = ends[i] - size[i]
+            for a in range(0, ends[j - 1] - begin, WORDS):
+                own = flat.slice(begin + a, min(WORDS, ends[j - 1] - begin - a)).dictionary_encode()
+                known = own.dictionary.to_pylist()
+                order = sorted(range(len(known)), key=known.__getitem__)
+                rows, place = np.stack([self.row(known[k]) for k in order]), np.empty(len(known), np.int64)
+                place[order] = np.arange(len(known))
+                doc = np.repeat(np.arange(j - i), size[i:j])[a : a + WORDS]
+                key, n = np.unique(doc * len(rows) + place[own.indices.to_numpy()], return_counts=True)
+                doc, word = key // len(rows), key % len(rows)
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
+                for b, c in zip(first, [*first[1:], len(doc)]):
+                    out[i + doc[b]] += n[b:c] @ rows[word[b:c]]
+            i = j
+        return out
+
     def project(self, text: Column) -> Column:
         """array<double>: the sum of the rows of the text's words; null for null."""
         own = self
 
         @F.arrow_udf("array<double>")
         def run(words: pa.Array) -> pa.Array:
-            return pa.array([None if w is None else own.vector(w) for w in words.to_pylist()], pa.list_(pa.float64()))
+            flat = own.vectors(words)
+            offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * own.dim, mask=np.append(words.is_null().to_numpy(zero_copy_only=False), False))
+            return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
 
         return run(plain_tokens(text))
 

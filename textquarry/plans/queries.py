@@ -36,10 +36,13 @@ def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import textquarry.plans.file_queries  # noqa: F401, it adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
