@@ -1,163 +1,159 @@
 """Toxicity from the nearest labelled examples.
 
-Documents are TF-IDF vectors over words and word stems that tell toxic examples from others
-(chi-square), with one unknown term, at a small weight, for all other words, so that a vector's
-direction holds how dense the telling terms are. The nearest examples by exact cosine come from
-a block-max inverted index: examples in blocks, a posting list per term in block order and each
-term's greatest weight in each block. Blocks are opened in the order of their bounds until no
-other can hold a nearer example. The neighbours vote with weights that fall with distance;
-votes are calibrated by isotonic regression on the examples themselves, each left out.
+Documents are TF-IDF vectors over all words of the examples: (1 + ln tf) * idf * rf.
+idf counts all documents; rf, the relevance frequency log2(2 + toxic / others) of the examples that
+hold a term, is the usual supervised factor of text classification. No term is left out, so that
+clean documents have neighbours of their own kind too.
+
+The nearest examples by exact cosine come from a block-max inverted index. Examples lie in
+blocks. The lists of rare terms are read in full; those of the HEAD commonest terms are long and
+weigh little, so a block's are only read if the block's greatest sum over the rare terms and the
+block's greatest weights of the common ones can still reach the nearest found so far. The
+neighbours vote with weights that fall with distance; votes are calibrated by isotonic
+regression on the examples themselves, each left out.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored, worker_state
+from textquarry.llm.common import Generations, map_slices, slices, stored, worker_state
 
 #: Labelled rows that the index holds at most: those first in the order of a hash of doc_id.
 EXAMPLES = 4000
 #: Neighbours; the calibrated score from which a document is toxic.
 NEIGHBOURS, THRESHOLD = 15, 0.5
-#: A term is kept if this many examples hold it and its chi-square, over its presence and the label, reaches the bound.
-LEAST_EXAMPLES, CHI_SQUARE = 4, 20.0
-#: The weight of the unknown term, in place of an inverse document frequency.
-UNKNOWN = 0.05
-BLOCK, CACHE = 64, 500_000
-STEMS = (4, 5, 6, 7)
+#: Examples in a block, common terms, documents and postings that are looked at together. They bear on time alone.
+BLOCK, HEAD, TOGETHER, POSTINGS = 64, 512, 256, 1_000_000
+CACHE = 100_000
 
 _words = re.compile(r"[^\W_]+").findall
 
 
-def terms(word: str) -> list[str]:
-    """A lower-case word and its first letters as stems."""
-    return [word] + [word[:n] + "~" for n in STEMS if len(word) > n]
-
-
-class Vectors:
-    """Turns texts into sparse unit vectors over a vocabulary of weights; the last index is the unknown term."""
-
-    def __init__(self, idf: dict[str, float]):
-        self.index = {t: i for i, t in enumerate(sorted(idf))}
-        self.weight = np.array([idf[t] for t in sorted(idf)] + [UNKNOWN])
-        self.kinds: dict[tuple, int] = {}
-        self.known: dict[str, int] = {}
-        self.patterns: list[tuple[np.ndarray, int]] = []
-
-    def _kind(self, chunk: str) -> int:
-        """The number of the pattern of terms that a string without white space adds."""
-        found, unknown = [], 0
-        for word in _words(chunk):
-            own = [self.index[t] for t in terms(word) if t in self.index]
-            found += own
-            unknown += not own
-        key = (*sorted(found), -unknown)
-        if key not in self.kinds:
-            self.kinds[key] = len(self.patterns)
-            counts = np.bincount(found, minlength=len(self.weight)) if found else np.zeros(len(self.weight), np.int64)
-            self.patterns.append((np.flatnonzero(counts), counts[counts > 0], unknown))
-        return self.kinds[key]
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes, ascending, and unit weights; both empty if the text has no word."""
-        chunks = text.lower().split()
-        known = self.known
-        missing = {c for c in set(chunks) if c not in known}
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                self.known.clear()
-                missing = set(chunks)
-            self.known.update((c, self._kind(c)) for c in missing)
-        kinds = np.bincount(np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)), minlength=1)
-        tf: dict[int, int] = {}
-        last = len(self.weight) - 1
-        for k in np.flatnonzero(kinds) if chunks else ():
-            ids, counts, unknown = self.patterns[k]
-            for i, n in zip(ids.tolist(), counts.tolist()):
-                tf[i] = tf.get(i, 0) + n * int(kinds[k])
-            if unknown:
-                tf[last] = tf.get(last, 0) + unknown * int(kinds[k])
-        ids = np.array(sorted(tf), np.int64)
-        w = np.array([tf[i] for i in ids.tolist()]) * self.weight[ids]
-        return ids, w / np.sqrt((w * w).sum()) if len(w) else w
+class Counts:
+    """Counts the terms of texts over a vocabulary; words outside it don't count."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.index = {t: i for i, t in enumerate(vocabulary)}
+        self.known = Generations(CACHE)
+
+    def _numbers(self, chunks: list[str]) -> Iterator[bytes]:
+        get = self.index.get
+        for chunk in chunks:
+            yield array("i", [i for w in _words(chunk) if (i := get(w)) is not None]).tobytes()
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts, one after another: where each one's terms start (and the end), the terms, ascending, and their counts."""
+        cut = [t.lower().split() for t in texts]
+        found = self.known.find([c for own in cut for c in own], self._numbers)
+        ends = np.cumsum([0, *map(len, cut)])
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])[ends] // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
+        doc = np.repeat(np.arange(len(texts)), np.diff(sizes))
+        size = max(len(self.index), 1)
+        key, n = np.unique(doc * size + flat, return_counts=True)
+        return np.searchsorted(key, np.arange(len(texts) + 1) * size), key % size, n
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 class Index:
-    """Block-max inverted index over the examples' unit vectors; examples with one and the same vector share an entry."""
-
-    def __init__(self, ids: list[int], toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], size: int, k: int = NEIGHBOURS, block: int = BLOCK):
-        groups: dict[tuple, list[int]] = {}
-        for i, (t, w) in enumerate(vectors):
-            if len(t):
-                groups.setdefault((t.tobytes(), np.round(w, 12).tobytes()), []).append(i)
-        entries = [sorted(g, key=lambda i: ids[i]) for g in groups.values()]
+    """Block-max inverted index over the examples' unit vectors."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, k: int = NEIGHBOURS, block: int = BLOCK, head: int = HEAD):
+        self.k, self.block, n = k, block, len(ids)
+        df = np.bincount(term, minlength=terms)
+        common = np.sort(np.lexsort((np.arange(terms), -df))[:head])
+        self.place = np.full(terms, -1, np.int64)
+        self.place[common] = np.arange(len(common))
+        doc = np.repeat(np.arange(n), np.diff(at))
+        dense = np.zeros((n, len(common)))
+        use = self.place[term] >= 0
+        dense[doc[use], self.place[term[use]]] = weight[use]
         # like vectors share blocks, which keeps the bounds close
-        entries.sort(key=lambda g: (vectors[g[0]][0][np.argmax(vectors[g[0]][1])], vectors[g[0]][1].max(), ids[g[0]]))
-        self.ids, self.toxic = np.array(ids, np.int64), np.array(toxic, np.float64)
-        # of an entry's examples only the first k + 1 can ever be near
-        self.members = [np.array(g[: k + 1], np.int64) for g in entries]
-        self.first = np.array([ids[g[0]] for g in entries], np.int64)
-        self.k, self.block, self.blocks = k, block, -(-len(entries) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for place, g in enumerate(entries):
-            for t, w in zip(vectors[g[0]][0].tolist(), vectors[g[0]][1].tolist()):
-                postings[t].append((place, w))
-        self.top = np.zeros((size, self.blocks))
-        self.where, self.what, self.start = [], [], np.zeros((size, self.blocks + 1), np.int64)
-        for t, own in enumerate(postings):
-            places = np.array([p for p, _ in own], np.int64)
-            weights = np.array([w for _, w in own])
-            np.maximum.at(self.top[t], places // block, weights)
-            self.start[t] = np.searchsorted(places, np.arange(self.blocks + 1) * block)
-            self.where.append(places % block)
-            self.what.append(weights)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, nearest first, of equal ones (to nine places) the lower doc_id; examples at cosine zero don't count as near."""
-        if not len(ids) or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.top[ids]
-        best_p, best_s, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best_p) > self.k and bounds[b] < least - 1e-8:
-                break
-            s = np.zeros(self.block)
-            for t, w in zip(ids.tolist(), weights.tolist()):
-                lo, hi = self.start[t, b], self.start[t, b + 1]
-                if hi > lo:
-                    s[self.where[t][lo:hi]] += w * self.what[t][lo:hi]
-            s = np.round(s, 9)
-            at = np.flatnonzero((s > 0) & (s >= least))
-            if not len(at):
-                continue
-            best_p, best_s = np.concatenate([best_p, at + b * self.block]), np.concatenate([best_s, s[at]])
-            # one entry more than k, as one example may be left out
-            keep = np.lexsort((self.first[best_p], -best_s))[: self.k + 1]
-            best_p, best_s = best_p[keep], best_s[keep]
-            if len(best_p) > self.k:
-                least = best_s[-1]
-        if not len(best_p):
-            return np.empty(0, np.int64), np.empty(0)
-        near = np.concatenate([self.members[p] for p in best_p])
-        cosines = np.repeat(best_s, [len(self.members[p]) for p in best_p])
-        if without is not None:
-            near, cosines = near[self.ids[near] != without], cosines[self.ids[near] != without]
-        order = np.lexsort((self.ids[near], -cosines))[: self.k]
-        return near[order], cosines[order]
+        order = np.lexsort((ids, dense.max(1), dense.argmax(1))) if len(common) and n else np.arange(n)
+        self.ids, self.toxic = np.asarray(ids, np.int64)[order], np.asarray(toxic, np.float64)[order]
+        self.blocks = -(-n // block)
+        self.dense = np.zeros((self.blocks * block, len(common)))
+        self.dense[:n] = dense[order]
+        self.top = self.dense.reshape(self.blocks, block, -1).max(1) if n else np.zeros((0, len(common)))
+        where = np.empty(n, np.int64)
+        where[order] = np.arange(n)
+        rare = np.flatnonzero(~use)
+        rare = rare[np.lexsort((where[doc[rare]], term[rare]))]
+        self.where, self.what = where[doc[rare]].astype(np.int32), weight[rare]
+        self.start = np.searchsorted(term[rare], np.arange(terms + 1))
+        self.number = {int(x): i for i, x in enumerate(self.ids.tolist())}
+        #: Blocks whose common lists were read, of how many.
+        self.opened, self.seen = 0, 0
+
+    def nearest(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, without: list[int | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the numbers and cosines of its k nearest examples, nearest first, of equal ones (to nine places) the lower doc_id; examples at cosine zero don't count as near. without: an example's doc_id that isn't looked at."""
+        reads = self.start[term + 1] - self.start[term]
+        total = np.concatenate([[0], np.cumsum(reads)])
+        a = 0
+        while a < len(at) - 1:
+            b = max(a + 1, min(a + TOGETHER, int(np.searchsorted(total[at], total[at[a]] + POSTINGS, side="right")) - 1))
+            lo, hi = at[a], at[b]
+            yield from self._nearest(np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), term[lo:hi], weight[lo:hi], reads[lo:hi], without[a:b])
+            a = b
+
+    def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, reads: np.ndarray, without: list[int | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, size, k = len(without), self.blocks * self.block, self.k
+        if not size:
+            yield from ((np.empty(0, np.int64), np.empty(0)) for _ in range(n))
+            return
+        query = np.zeros((n, self.dense.shape[1]))
+        use = self.place[term] >= 0
+        query[doc[use], self.place[term[use]]] = weight[use]
+        own = _ranges(self.start[term], reads)
+        sums = np.bincount(np.repeat(doc, reads) * size + self.where[own], np.repeat(weight, reads) * self.what[own], n * size).astype(float).reshape(n, size)
+        for q, w in enumerate(without):
+            if w is not None:
+                sums[q, self.number[w]] = -np.inf
+        bounds = sums.reshape(n, self.blocks, self.block).max(2) + query @ self.top.T
+        scores = np.full((n, size), -np.inf)
+        best = np.full((n, k), 0.0)
+        first = bounds.argmax(1)
+        left = np.ones((n, self.blocks), bool)
+        for step in range(self.blocks + 1):
+            # each document's most promising block first, then block by block what can still be near
+            for b in np.unique(first).tolist() if not step else (step - 1,):
+                at = np.flatnonzero((first == b) if not step else left[:, b] & (bounds[:, b] > 0) & (bounds[:, b] >= best[:, 0] - 1e-8))
+                if not len(at):
+                    continue
+                self.opened += len(at)
+                left[at, b] = False
+                here = slice(b * self.block, (b + 1) * self.block)
+                found = np.round(sums[at, here] + query[at] @ self.dense[here].T, 9)
+                scores[at, here] = found
+                both = np.concatenate([best[at], found], 1)
+                best[at] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                # the least of the k best so far
+                best[at, 0], best[at, best[at].argmin(1)] = best[at].min(1), best[at, 0]
+        self.seen += n * self.blocks
+        for q in range(n):
+            near = np.flatnonzero((scores[q] > 0) & (scores[q] >= best[q, 0]))
+            near = near[np.lexsort((self.ids[near], -scores[q, near]))[:k]]
+            yield near, scores[q, near]
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
-        """The toxic share of the neighbours' votes, each 1 / (1.0001 - cosine); 0 without neighbours."""
+        """The toxic share of the votes of k neighbours, each 1 / (1.0001 - cosine); where fewer are at a cosine above 0, the rest, all equally far, vote as examples do on average. 0 without neighbours."""
         if not len(near):
             return 0.0
-        w = 1 / (1.0001 - np.minimum(cosines, 1.0))
-        return float((w * self.toxic[near]).sum() / w.sum())
+        w, rest = 1 / (1.0001 - np.minimum(cosines, 1.0)), (self.k - len(near)) / 1.0001
+        return float(((w * self.toxic[near]).sum() + rest * self.toxic.mean()) / (w.sum() + rest))
 
 
 def isotonic(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,23 +171,34 @@ def isotonic(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Model:
-    """Vectors, index and calibration; its size is bounded by the number of examples."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, list[int], list[float]]]):
-        self.idf = idf
-        size = len(idf) + 1
-        vectors = [(np.array(i, np.int64), np.array(w)) for _, _, i, w in examples]
-        self.index = Index([e[0] for e in examples], [e[1] for e in examples], vectors, size)
-        votes = np.array([self.index.vote(*self.index.nearest(*v, without=e[0])) for v, e in zip(vectors, examples)])
-        self.x, self.y = isotonic(votes, np.array([e[1] for e in examples], float)) if examples else (np.empty(0), np.empty(0))
+    """Vocabulary, weights, index and calibration; its size is bounded by the examples'."""
+
+    def __init__(self, vocabulary: list[str], weight: np.ndarray, ids: list[int], toxic: list[int], at: np.ndarray, term: np.ndarray, count: np.ndarray):
+        self.vocabulary, self.weight = vocabulary, weight
+        #: Examples that hold a term.
+        self.held = np.bincount(term, minlength=len(weight))
+        self.index = Index(np.array(ids, np.int64), np.array(toxic), at, term, self.unit(at, term, count), len(weight))
+        # an example's own vector is what it would be if it weren't one: without terms that it alone holds
+        votes = np.array([self.index.vote(*x) for x in self.index.nearest(at, term, self.unit(at, term, count, np.ones(len(ids), bool)), ids)])
+        self.x, self.y = isotonic(votes, np.array(toxic, float)) if len(ids) else (np.empty(0), np.empty(0))
+
+    def unit(self, at: np.ndarray, term: np.ndarray, count: np.ndarray, examples: np.ndarray | None = None) -> np.ndarray:
+        """Weights of the terms of texts, each text's to length 1."""
+        w = (1 + np.log(count)) * self.weight[term]
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        if examples is not None:
+            w = np.where(examples[doc] & (self.held[term] == 1), 0.0, w)
+        norm = np.sqrt(np.bincount(doc, w * w, len(at) - 1))
+        return w / np.where(norm > 0, norm, 1.0)[doc]
 
     def calibrated(self, vote: float) -> float:
         at = int(np.searchsorted(self.x, vote, side="right")) - 1
         return float(self.y[max(at, 0)]) if len(self.y) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, least: int = LEAST_EXAMPLES, chi_square: float = CHI_SQUARE) -> Model:
-    """From labelled documents (labels' doc_id and toxic, docs' doc_id and text). Rows with a null id, label or text don't count; of rows with one doc_id the first by label and text does. Without usable rows every score is 0."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """From labelled documents (labels' doc_id and toxic, docs' doc_id and text), of which at most `examples` are used, and the document counts of their terms in all of docs. Rows with a null id, label or text don't count; of rows with one doc_id the first by label and text does as an example. Without usable rows of both labels every score is 0."""
+    spark = docs.sparkSession
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     # only ids that docs holds are drawn, so that a filtered corpus still fills the sample
     ids = docs.select("doc_id").where("text IS NOT NULL AND doc_id IS NOT NULL").distinct()
@@ -202,61 +209,75 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, least: int
         for batch in batches:
             n: Counter[tuple[str, int]] = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n.update((t, label) for t in {t for w in _words(text.lower()) for t in terms(w)})
+                n.update((t, label) for t in set(_words(text.lower())))
             yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in n], pa.string()), "toxic": pa.array([x for _, x in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
 
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
-    idf: dict[str, float] = {}
-    if pos and neg:
-        a, b = F.col("a"), F.col("b")
-        kept = (
-            rows.select("text", "toxic").mapInArrow(seen, "term string, toxic int, n bigint").groupBy("term")
-            .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") != 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
-            .where((a + b >= least) & (a * neg > b * pos) & (F.pow(a * (neg - b) - b * (pos - a), 2) * (pos + neg) >= chi_square * (a + b) * (pos + neg - a - b) * pos * neg))
-        )
-        idf = {r.term: 1 + math.log((pos + neg) / (r.a + r.b)) for r in kept.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    if not totals.get(1, 0) or sum(totals.values()) == totals[1]:
+        return Model([], np.zeros(0), [], [], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    held = rows.select("text", "toxic").mapInArrow(seen, "term string, toxic int, n bigint").groupBy("term").agg(of(F.col("toxic") == 1).alias("a"), of(F.col("toxic") != 1).alias("b")).toArrow().sort_by("term")
+    vocabulary = held.column("term").to_pylist()
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def documents(batches):
+        """Documents of the partition that hold each term; -1: documents."""
+        n, all_ = np.zeros(len(shared.value), np.int64), 0
+        counts = worker_state("toxicity terms", (shared.value,), lambda: Counts(shared.value))
+        for batch in batches:
+            for part in slices(batch):
+                n += np.bincount(counts(part.column("text").to_pylist())[1], minlength=len(n))
+                all_ += part.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], all_))], names=["term", "n"])
+
+    counted = docs.select("text").where("text IS NOT NULL").mapInArrow(documents, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.ones(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    a, b = held.column("a").to_numpy(), held.column("b").to_numpy()
+    weight = np.log(n[term < 0].sum() / df) * np.log2(2 + a / np.maximum(b, 1))
 
     def vectors(batches):
-        v = Vectors(shared.value)
+        counts = Counts(shared.value)
         for batch in batches:
-            found = [v.vector(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "i": pa.array([i.tolist() for i, _ in found], pa.list_(pa.int32())), "w": pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))})
+            at, i, count = counts(batch.column("text").to_pylist())
+            lists = (pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (i, count))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "i", "n"])
 
-    collected = rows.mapInArrow(vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, i array<int>, w array<double>").collect()
-    return Model(idf, sorted((r.doc_id, int(r.toxic == 1), r.i, r.w) for r in collected))
+    found = rows.mapInArrow(vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, i array<int>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists, counts = found.column("i").combine_chunks(), found.column("n").combine_chunks()
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return Model(vocabulary, weight, found.column("doc_id").to_pylist(), [int(x == 1) for x in found.column("toxic").to_pylist()], at, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64))
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True) -> DataFrame:
     """docs' columns in keep, with score in [0, 1], toxic (score >= threshold) and evidence: the nearest examples with their similarity and label, nearest first (left out where evidence is False). A column in keep that has one of these names is replaced.
 
     A row for every row of docs, repeated ones and null ids included; an example isn't its own
-    evidence. A null or empty text, or one without words, has score 0, isn't toxic and has no
-    evidence. Whole texts count at any length; columns outside keep are ignored whatever their
-    names. An empty table gives an empty one.
+    evidence. A null or empty text, or one without a word of the examples, has score 0, isn't
+    toxic and has no evidence. Of equal similarities the lower example comes first. Whole texts
+    count at any length; columns outside keep are ignored whatever their names. An empty table
+    gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        v, cache, examples = worker_state("toxicity", (m,), lambda: (Vectors(m.idf), {}, set(m.index.ids.tolist())))
-        found = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids, w = v.vector(text or "")
-            without = doc_id if doc_id in examples else None
-            key = (without, ids.tobytes(), np.round(w, 12).tobytes())
-            if key not in cache:
-                if len(cache) > 50_000:
-                    cache.clear()
-                p, s = m.index.nearest(ids, w, without)
-                cache[key] = m.calibrated(m.index.vote(p, s)) if len(p) else 0.0, (p, s) if evidence else None
-            found.append(cache[key])
-        scores = [s for s, _ in found]
+        counts = worker_state("toxicity", (m,), lambda: Counts(m.vocabulary))
+        at, term, count = counts([t or "" for t in batch.column("text").to_pylist()])
+        without = [x if x in m.index.number else None for x in batch.column("doc_id").to_pylist()]
+        weight = m.unit(at, term, count, np.array([w is not None for w in without], bool))
+        scores, near = [], []
+        for p, s in m.index.nearest(at, term, weight, without):
+            scores.append(m.calibrated(m.index.vote(p, s)) if len(p) else 0.0)
+            near.append((p, s))
         columns = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
         if evidence:
-            columns.append(pa.array([[{"example": int(m.index.ids[x]), "similarity": round(float(y), 9), "toxic": int(m.index.toxic[x])} for x, y in zip(*e)] for _, e in found], pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))))
+            flat = np.concatenate([p for p, _ in near]) if near else np.empty(0, np.int64)
+            fields = [pa.array(m.index.ids[flat]), pa.array(np.concatenate([s for _, s in near]) if near else np.empty(0)), pa.array(m.index.toxic[flat].astype(np.int32))]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) for p, _ in near)]), pa.int32()), pa.StructArray.from_arrays(fields, names=["example", "similarity", "toxic"])))
         return pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "toxic", *(("evidence",) if evidence else ())])
 
     keep = tuple(c for c in keep if c not in ("score", "toxic", "evidence"))
