@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored, worker_state
+from textquarry.llm.common import Generations, map_slices, stored, worker_state
 from textquarry.llm.components import components
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, edit similarity of near duplicates.
@@ -32,7 +32,8 @@ K, ORDER, SKETCHES, SIMILARITY = 3, 2, 24, 0.8
 SHORT = 30
 #: A set of ids is broadcast up to this size; beyond it a join shuffles.
 BROADCAST_IDS = 1_000_000
-CACHE = 500_000
+#: Entries of a generation of a worker's cache of words.
+CACHE = 150_000
 
 _marks = string.punctuation + "«»„“”‘’‚…–—¿¡·"
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -53,28 +54,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Sketcher:
     def __init__(self, k: int = K, order: int = ORDER, sketches: int = SKETCHES):
         self.k, self.order, self.sketches = k, order, sketches
-        self.known: dict[str, int] = {}
+        self.known = Generations(CACHE)
+
+    @staticmethod
+    def _hashed(chunks: list[str]) -> list[int]:
+        return [xxhash.xxh3_64_intdigest(w) | 1 if (w := c.strip(_marks)) else 0 for c in chunks]
 
     def hashes(self, text: str) -> np.ndarray:
         """A 64-bit hash for each word."""
         chunks = text.lower().split()
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = list(set(chunks))
-        for c in missing:
-            w = c.strip(_marks)
-            known[c] = xxhash.xxh3_64_intdigest(w) | 1 if w else 0
-        out = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
+        out = np.fromiter(self.known.find(chunks, self._hashed), np.uint64, len(chunks))
         return out[out > 0]
 
-    def __call__(self, text: str) -> tuple[int, np.ndarray, int] | None:
-        """A hash of the whole sequence of words, the sketches, the number of words; None without words."""
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray, int] | None:
+        """A 128-bit hash of the whole sequence of words, the sketches, the number of words; None without words."""
         w = self.hashes(text)
         if not len(w):
             return None
-        whole = xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63)
+        whole = xxhash.xxh3_128_digest(w.tobytes())
         n = max(len(w) - self.k + 1, 1)
         h = np.zeros(n, np.uint64)
         for i in range(min(self.k, len(w))):
@@ -231,9 +228,9 @@ def signatures(docs: DataFrame) -> DataFrame:
         keep = [i for i, f in enumerate(found) if f]
         flat = np.concatenate([found[i][1] for i in keep]) if keep else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * SKETCHES), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.int64()), lists, pa.array([found[i][2] for i in keep], pa.int32())], names=["doc_id", "whole", "sketches", "words"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.binary()), lists, pa.array([found[i][2] for i in keep], pa.int32())], names=["doc_id", "whole", "sketches", "words"])
 
-    return map_slices(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, whole bigint, sketches array<bigint>, words int")
+    return map_slices(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, whole binary, sketches array<bigint>, words int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -270,9 +267,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows with one doc_id are one document, with the least of their texts. Equal texts, and texts
     equal but for case, white space and marks at the words' ends, are always in one group.
     Texts of any length are sketched and aligned whole; every pair that shares a sketch, or a
-    piece where the shorter text has fewer than SHORT words, is verified unless the numbers of their words rule it out or other verified pairs already put
-    both in one group. Other columns are
-    ignored whatever their names. An empty table gives an empty one.
+    piece where the shorter text has fewer than SHORT words, is verified unless the numbers of
+    their words rule it out or other verified pairs already put both in one group. Other columns
+    are ignored whatever their names. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
