@@ -9,30 +9,31 @@ interior. Each high-level symbol knows its context, the words that alone determi
 A window of LENGTH words can only be repeated if every symbol whose context it holds occurs
 again. So Spark counts the high-level symbols, each document is cut again with what is known to
 recur, and only windows that no symbol rules out are fingerprinted, counted and joined to
-passages. Nothing is missed: a window without such a symbol is never ruled out.
+passages. Nothing is missed: a window without such a symbol is never ruled out. Windows count as
+equal if two independent fingerprints of their bytes, 128 bits together, are: among 10^13 windows the
+chance that any two unequal ones agree is about 10^-13. Whole documents are compared by SHA-256.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_slices, stored, worker_state
+from textquarry.llm.common import map_slices, stored
 
 #: Words of a passage at least, rounds, words that a symbol must stand for to be counted.
 LENGTH, ROUNDS, LEAST_WORDS = 50, 5, 3
-CACHE = 500_000
-BROADCAST_IDS = 1_000_000
+#: Bytes that are hashed together; ids that are broadcast at most.
+RUN, BROADCAST_IDS = 4_000_000, 1_000_000
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_BASE = 0x5851F42D4C957F2D
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The two families of fingerprints; that of the words' bytes and that of the words of a window have one base.
+_BASE, _OTHER = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+#: Which symbols are right ones, round by round.
+_sides = [np.uint64((r + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)) for r in range(64)]
+_powers: dict[int, np.ndarray] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,15 +42,65 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    known = worker_state("repeats", (), dict)
-    missing = [w for w in set(words) if w not in known]
-    if len(known) + len(missing) > CACHE:
-        known.clear()
-        missing = list(set(words))
-    for w in missing:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_white = np.zeros(256, bool)
+_white[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space beyond ASCII, by the first byte of its UTF-8.
+_wide = {0xC2: (b"\xc2\x85", b"\xc2\xa0"), 0xE1: (b"\xe1\x9a\x80",), 0xE2: tuple(chr(c).encode() for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F)), 0xE3: (b"\xe3\x80\x80",)}
+_lead = np.zeros(256, bool)
+_lead[list(_wide)] = True
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64, at least n of them."""
+    if len(own := _powers.get(base, ())) < n:
+        own = np.full(2 * n, np.uint64(base), np.uint64)
+        own[0] = 1
+        _powers[base] = own = np.multiply.accumulate(own)
+    return own
+
+
+class Words:
+    """The words of some texts, one after another: where each text's start (and the end), where each word lies in the texts' bytes, its hash. Words are what str.split() gives."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("").cast(pa.string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        self.raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+        self.text = at - at[0]
+        n = len(self.raw)
+        white = _white[self.raw]
+        for i in np.flatnonzero(_lead[self.raw]).tolist() if n and _lead[self.raw].any() else ():
+            for w in _wide[self.raw[i]]:
+                if self.raw[i : i + len(w)].tobytes() == w:
+                    white[i : i + len(w)] = True
+        edge = np.zeros(n + 1, bool)
+        edge[self.text] = True
+        begin, end = ~white, ~white
+        begin[1:] &= white[:-1] | edge[1:-1]
+        end[:-1] &= white[1:] | edge[1:-1]
+        self.first, self.last = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.starts = np.searchsorted(self.first, self.text)
+
+    def hashes(self, base: int = _BASE) -> np.ndarray:
+        """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length. Long texts are hashed in runs."""
+        out, size = np.empty(len(self.first), np.uint64), self.last - self.first
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.last, self.first[i] + RUN, side="right")))
+            lo, hi = self.first[i], self.last[j - 1]
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((self.raw[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(base, hi - lo)[: hi - lo], out=sums[1:])
+            a, b = self.first[i:j] - lo, self.last[i:j] - lo
+            out[i:j] = _mixed((sums[b] - sums[a]) * _power(pow(base, -1, 1 << 64), hi - lo)[a] + size[i:j].astype(np.uint64) * _C3)
+            i = j
+        return out
+
+    def chars(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Places in bytes as places in characters of their texts."""
+        if not hasattr(self, "_chars"):
+            self._chars = np.concatenate([[0], np.cumsum(self.raw & 0xC0 != 0x80)])
+        return self._chars[at] - self._chars[self.text[text]]
 
 
 def recompress(symbols: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +132,7 @@ def recompress(symbols: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) ->
         after = np.where(last, starts[doc + 1] + 1, np.append(hi[1:], np.int64(0)))
         lo, hi = np.minimum(lo, before), np.maximum(hi, after)
         # pairs
-        right = (_mixed(s + np.uint64(r + 1) * _C2) & np.uint64(1)).astype(bool)
+        right = (_mixed(s + _sides[r]) & np.uint64(1)).astype(bool)
         first = ~right & ~last & np.append(right[1:], False)
         second = np.append(False, first[:-1])
         # an unpaired left symbol depends on the next, an unpaired right one on the one before
@@ -115,25 +166,22 @@ def open_windows(starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int
     return np.flatnonzero(free & (np.arange(n) + length <= for_doc))
 
 
-def window_names(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def window_names(symbols: np.ndarray, at: np.ndarray, length: int, base: int = _BASE) -> np.ndarray:
     """Fingerprints of the windows of `length` words from each place on."""
     n = len(symbols)
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((_BASE, _BACK)):
-            p = np.full(2 * n + 2, np.uint64(base), np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * _powers[0][:n], dtype=np.uint64)])
-    return _mixed((sums[at + length] - sums[at]) * _powers[1][at])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * _power(base, n)[:n], dtype=np.uint64)])
+    return _mixed((sums[at + length] - sums[at]) * _power(pow(base, -1, 1 << 64), n)[at])
 
 
 def _symbols(length: int, rounds: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         """A row for each symbol of the slice: its first place, and its others if any; symbol null: a document with windows that hold no symbol."""
         ids = batch.column("doc_id").to_numpy()
-        words = [w if len(w := (t or "").split()) >= length else [] for t in batch.column("text").to_pylist()]
-        starts = np.cumsum([0, *map(len, words)])
-        flat = hashes([w for own in words for w in own])
+        words = Words(batch.column("text"))
+        size = np.diff(words.starts)
+        long = size >= length
+        flat = words.hashes()[np.repeat(long, size)]
+        starts = np.cumsum(np.append(0, np.where(long, size, 0)))
         s, doc, lo, hi, size = recompress(flat, starts, rounds)
         number = np.arange(len(s)) - np.searchsorted(doc, doc)  # of the symbol in its document
         use = (size >= LEAST_WORDS) & (hi - lo <= length) & (lo >= starts[doc]) & (hi <= starts[doc + 1])
@@ -155,33 +203,25 @@ def _symbols(length: int, rounds: int):
     return run
 
 
-_token = re.compile(r"\S+")
-
-
 def _windows(length: int, rounds: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         """A row for each window that nothing rules out, with its place in words and in characters."""
         ids = batch.column("doc_id").to_numpy()
-        texts = batch.column("text").to_pylist()
-        words = [t.split() for t in texts]
-        starts = np.cumsum([0, *map(len, words)])
-        flat = hashes([w for own in words for w in own])
+        words = Words(batch.column("text"))
+        starts, flat = words.starts, words.hashes()
         s, doc, lo, hi, size = recompress(flat, starts, rounds)
-        begin = np.searchsorted(doc, np.arange(len(texts)))
+        lists = batch.column("numbers")
+        numbers, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
         recurs = np.zeros(len(s) + 1, bool)
-        for d, numbers in enumerate(batch.column("numbers").to_pylist()):
-            recurs[begin[d] + np.array([x for x in numbers if x >= 0], np.int64)] = True
+        recurs[(np.searchsorted(doc, np.arange(len(ids)))[owner] + numbers)[numbers >= 0]] = True
         use = ~recurs[: len(s)] & (size >= LEAST_WORDS) & (hi - lo <= length) & (lo >= starts[doc]) & (hi <= starts[doc + 1])
         at = open_windows(starts, lo[use], hi[use], length)
         own = np.searchsorted(starts, at, side="right") - 1
         name = window_names(flat, at, length)
-        a, b = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        for d in np.unique(own):
-            spans = np.array([m.span() for m in _token.finditer(texts[d])])
-            mine = own == d
-            local = at[mine] - starts[d]
-            a[mine], b[mine] = spans[local, 0], spans[local + length - 1, 1]
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[own].astype(np.int64)), pa.array((at - starts[own]).astype(np.int32)), pa.array(a), pa.array(b)], names=["name", "doc_id", "word", "a", "b"])
+        check = window_names(words.hashes(_OTHER), at, length, _OTHER) if len(at) else name
+        a, b = words.chars(words.first[at], own), words.chars(words.last[at + length - 1], own)
+        columns = [pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids[own].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at - starts[own], a, b))]
+        return pa.RecordBatch.from_arrays(columns, names=["name", "check", "doc_id", "word", "a", "b"])
 
     return run
 
@@ -236,7 +276,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS) -> Data
     Words are what white space divides, compared as they are. Words count from 0, last_word is
     past the end; start and end count characters from 0. A place of its own in the same
     document counts as another occurrence. first_doc_id is the least document that holds one of
-    the passage's windows. A document that equals another (text for text) is one passage as a
+    the passage's windows. A document that equals another (by SHA-256 of its text) is one passage as a
     whole, if it's long enough. Null and empty texts, texts of fewer words and rows with a null
     id have no passage; rows with one doc_id are one document, with the least of their texts.
     Texts of any length are searched whole; other columns are ignored whatever their names. An
@@ -245,19 +285,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    prints = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    same = prints.groupBy("h", "n").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    equal = stored(prints.join(same, ["h", "n"]).select("doc_id", "first_doc_id"), "equal")
+    prints = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"))
+    same = prints.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    equal = stored(prints.join(same, "h").select("doc_id", "first_doc_id"), "equal")
     copies = stored(equal.where("doc_id <> first_doc_id").select("doc_id"), "copies")
     once = _joined(docs, copies, "left_anti")
-    symbols = map_slices(once, _symbols(length, rounds), "symbol bigint, doc_id bigint, number int, more array<struct<doc_id:bigint,number:int>>")
-    counted = symbols.withColumn("n", F.sum(F.size("more") + 1).over(Window.partitionBy("symbol")))
-    places = counted.where("n > 1 OR symbol IS NULL").select(F.explode(F.concat(F.array(F.struct("doc_id", "number")), "more")).alias("p")).select("p.*")
-    marked = places.groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))
-    windows = map_slices(once.join(marked, "doc_id"), _windows(length, rounds), "name bigint, doc_id bigint, word int, a int, b int")
-    by_name = Window.partitionBy("name")
-    again = windows.withColumns({"n": F.count(F.lit(1)).over(by_name), "first": F.min("doc_id").over(by_name)}).where("n > 1")
+    symbols = stored(map_slices(once, _symbols(length, rounds), "symbol bigint, doc_id bigint, number int, more array<struct<doc_id:bigint,number:int>>"), "symbols")
+    # counted with a partial sum in each task, so that a symbol of a third of all documents is a few rows; then the places of those that recur
+    recurring = symbols.where("symbol IS NOT NULL").groupBy("symbol").agg(F.sum(F.size("more") + 1).alias("n")).where("n > 1").select("symbol")
+    places = symbols.join(recurring, "symbol", "left_semi").select(F.explode(F.concat(F.array(F.struct("doc_id", "number")), "more")).alias("p")).select("p.*")
+    marked = places.union(symbols.where("symbol IS NULL").select("doc_id", "number")).groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))
+    windows = stored(map_slices(once.join(marked, "doc_id"), _windows(length, rounds), "name bigint, check bigint, doc_id bigint, word int, a int, b int"), "windows")
+    again = windows.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
     whole = _joined(docs, equal, "inner").select("doc_id", "text", "first_doc_id")
-    found = again.join(F.broadcast(equal.select("doc_id")) if equal.count() <= BROADCAST_IDS else equal.select("doc_id"), "doc_id", "left_anti")
-    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "a", "b", "first"))).alias("windows"))
+    lone = windows.join(F.broadcast(equal.select("doc_id")) if equal.count() <= BROADCAST_IDS else equal.select("doc_id"), "doc_id", "left_anti")
+    lists = lone.join(again, ["name", "check"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "a", "b", "first"))).alias("windows"))
     return lists.mapInArrow(_merged(length), _RESULT).union(map_slices(whole, _whole(length), _RESULT))
