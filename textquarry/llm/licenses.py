@@ -2,13 +2,16 @@
 
 A notice may differ by up to k edits. Cut into k + 1 pieces, at least one piece must occur
 unchanged (pigeonhole), so one automaton over all pieces finds every place where a notice can
-be; the regex library's bounded-error matching then verifies the window around it.
+be; the regex library's bounded-error matching then verifies the window around it. White space,
+line breaks and the marks that start a comment's lines count as one space, so that wrapped notices are found.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import pyarrow as pa
@@ -37,7 +40,10 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("BSL-1.0", "Boost Software License - Version 1.0"),
     ("proprietary", "All rights reserved"),
+    ("SPDX", "SPDX-License-Identifier:"),
 )
+#: The notice whose licence is the identifier that follows it.
+TAG = "SPDX"
 #: Characters of a notice for each edit that it may differ by.
 CHARS_PER_EDIT = 12
 
@@ -48,6 +54,24 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+_gap = re.compile(r"[^\S\n]*\n\s*(?:(?:/\*+|\*+/?|//+|#+|;+|%+|--+|\|+|>+)[^\S\n]*(?:\n\s*)?)*|[^\S\n]{2,}|[^\S\n ]")
+_identifier = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9.+-]*)").match
+
+
+def spaced(low: str) -> str:
+    """Each run of white space, with the marks that start comment lines in it, as one space."""
+    return _gap.sub(" ", low)
+
+
+def places(low: str) -> Callable[[int], int]:
+    """Where a place of spaced(low) lies in low: a gap's is its end."""
+    at, shift = [0], [0]
+    for m in _gap.finditer(low):
+        shift.append(shift[-1] + len(m[0]) - 1)
+        at.append(m.end() - shift[-1])
+    return lambda i: i + shift[bisect_right(at, i) - 1]
+
+
 class Scanner:
     def __init__(self, notices: Iterable[tuple[str, str]] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
         self.notices = [(name, folded(n), len(n) // chars_per_edit) for name, n in notices]
@@ -64,7 +88,8 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int, int]]:
         """(licence, start, end, edits) of each place, in order; of notices that overlap, the one with the fewest edits stays, then the longer one, then the one listed first."""
-        low = folded(text)
+        whole = folded(text)
+        low = spaced(whole)
         windows: dict[int, list[list[int]]] = defaultdict(list)
         for end, (size, where) in self.automaton.iter(low):
             for i, offset in where:
@@ -85,7 +110,18 @@ class Scanner:
         for edits, _, i, start, end in sorted(found):
             if all(end <= a or start >= b for a, b, _, _ in chosen):
                 chosen.append((start, end, i, edits))
-        return [(self.notices[i][0], a, b, edits) for a, b, i, edits in sorted(chosen)]
+        if not chosen:
+            return []
+        place, out = places(whole), []
+        for a, b, i, edits in sorted(chosen):
+            # neither end lies in a gap
+            while a < b and low[a] == " ":
+                a += 1
+            name, start, end = self.notices[i][0], place(a), place(b - 1) + 1
+            if name == TAG and (m := _identifier(text, end)):
+                name, end = m[1], m.end()
+            out.append((name, start, end, edits))
+        return out
 
 
 def licenses(docs: DataFrame, notices: Iterable[tuple[str, str]] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -93,7 +129,8 @@ def licenses(docs: DataFrame, notices: Iterable[tuple[str, str]] = NOTICES, char
 
     Null and empty texts, and texts without a notice, have no row; an empty table gives an
     empty one. A repeated row is reported as often as it occurs, a null id stays null. Whole
-    texts are searched at any length; other columns are ignored whatever their names.
+    texts are searched at any length. Of notices that overlap the one with the fewest edits stays,
+    of ties the longer, then the one listed first. Other columns are ignored whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tuple(notices), chars_per_edit))
     scanners: dict[int, Scanner] = {}
