@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import stored
@@ -23,6 +23,10 @@ from textquarry.llm.common import stored
 NEIGHBOURS, FACTOR = 10, 1.0
 #: Points of a shard about, pivots at most (they are broadcast), queries that meet a shard at once, points of a leaf.
 SHARD, PIVOTS, QUERIES, LEAF = 16_384, 4096, 32_768, 256
+#: Shards of a cell at most, pairs of query and shard that are handed on at once.
+PARTS, ROUTES = 1_000_000, 65_536
+#: The query set of op10: vectors whose id is divisible by it.
+EVERY = 50
 #: Squared distances count to so many decimals, distances that bounds are compared with are this much longer: rounding then never rules out an equal neighbour.
 DECIMALS, SLACK = 9, 5e-5
 _FOUND = "vec_id bigint, ids array<bigint>, squares array<double>"
@@ -124,7 +128,8 @@ class Tree:
 
 def _frame(own: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> pd.DataFrame:
     good = ids >= 0
-    return pd.DataFrame({"vec_id": own, "ids": [i[g] for i, g in zip(ids, good)], "squares": [s[g] for s, g in zip(squares, good)]})
+    lists = {n: pd.Series([x[g] for x, g in zip(v, good)], dtype=object) for n, v in (("ids", ids), ("squares", squares))}
+    return pd.DataFrame({"vec_id": own, **lists})
 
 
 def _sharded(vectors: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -148,12 +153,12 @@ def _sharded(vectors: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     placed = stored(vectors.mapInPandas(place, "vec_id bigint, embedding array<double>, cell bigint, far double"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     # PIVOTS cells at most
-    split = placed.join(F.broadcast(sizes), "cell").withColumn("shard", F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")))
+    split = placed.join(F.broadcast(sizes), "cell").withColumn("shard", F.col("cell") * PARTS + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")))
     return stored(split.drop("parts"), "shards"), pivots
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR, size: int = SHARD, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): for every vector its k nearest others by Euclidean distance, from rank 1.
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR, size: int = SHARD, leaf: int = LEAF, queries: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): for every vector its k nearest others by Euclidean distance, from rank 1. queries: a condition on vec_id; only vectors that meet it are searched for, among all.
 
     Squared distances count to nine decimals; of equal ones the lower id comes first. Vectors
     with null or unfit entries (NaN, infinite), null or empty ones, those with a null id and
@@ -171,29 +176,45 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR,
     common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     points, pivots = _sharded(rows.where(F.size("embedding") == (common.d if common else 0)), size)
 
-    def home(f: pd.DataFrame) -> pd.DataFrame:
-        ids, x = f.vec_id.to_numpy(), np.stack(f.embedding.to_numpy())
-        return _frame(ids, *Tree(ids, x, leaf).search(ids, x, k, factor))
+    points = points.withColumn("asked", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False)))
 
-    bounds = points.groupBy("shard", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).orderBy("shard").collect()
+    def home(f: pd.DataFrame) -> pd.DataFrame:
+        q = f[f.asked]
+        if not len(q):
+            return _frame(np.empty(0, np.int64), np.empty((0, k), np.int64), np.empty((0, k)))
+        tree = Tree(f.vec_id.to_numpy(), np.stack(f.embedding.to_numpy()), leaf)
+        ids = q.vec_id.to_numpy()
+        return _frame(ids, *tree.search(ids, np.stack(q.embedding.to_numpy()), k, factor))
+
+    # a row a cell, PIVOTS at most
+    bounds = points.groupBy("cell").agg(F.max("far").alias("far"), (F.max("shard") % PARTS + 1).alias("parts")).orderBy("cell").collect()
     first = points.groupBy("shard").applyInPandas(home, _FOUND)
-    if len(bounds) > 1:
+    if sum(b.parts for b in bounds) > 1:
         first = stored(first, "near")
         radius = F.when(F.size("squares") == k, F.element_at("squares", -1)).otherwise(F.lit(float("inf")))
-        asked = points.join(first.select("vec_id", radius.alias("radius")), "vec_id")
-        shared = spark.sparkContext.broadcast((pivots, np.array([b.shard for b in bounds]), np.array([b.cell for b in bounds]), np.array([b.far for b in bounds])))
+        # a query alone in its shard has found nothing there
+        asked = points.where("asked").join(first.select("vec_id", radius.alias("radius")), "vec_id", "left").fillna(float("inf"), "radius")
+        shared = spark.sparkContext.broadcast((pivots, np.array([b.cell for b in bounds]), np.array([b.far for b in bounds]), np.array([b.parts for b in bounds])))
 
         def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pivots, shards, cells, far = shared.value
+            pivots, cells, far, parts = shared.value
             for frame in frames:
-                for a in range(0, len(frame), 1024):
-                    f = frame.iloc[a : a + 1024]
+                for a in range(0, len(frame), 512):
+                    f = frame.iloc[a : a + 512]
                     d = np.sqrt(squared(np.stack(f.embedding.to_numpy()), pivots))
                     # outside the ball around a cell's pivot; beyond the plane between two pivots
                     least = np.maximum(d[:, cells] - far[None], (d[:, cells] - d.min(1)[:, None]) / 2)
                     reach = np.sqrt(f.radius.to_numpy())[:, None] + SLACK
-                    q, s = np.nonzero((least * factor <= reach) & (shards[None] != f["shard"].to_numpy()[:, None]))
-                    yield pd.DataFrame({"shard": shards[s], "vec_id": f.vec_id.to_numpy()[q], "radius": f.radius.to_numpy()[q], "embedding": f.embedding.to_numpy()[q]})
+                    q, c = np.nonzero(least * factor <= reach)
+                    ids, radius, embedding, own = (f[x].to_numpy() for x in ("vec_id", "radius", "embedding", "shard"))
+                    # the shards of the cells, in runs
+                    ends = np.cumsum(parts[c])
+                    for lo in range(0, int(ends[-1]) if len(ends) else 0, ROUTES):
+                        at = np.arange(lo, min(lo + ROUTES, int(ends[-1])))
+                        row = np.searchsorted(ends, at, side="right")
+                        shard = cells[c[row]] * PARTS + at - (ends - parts[c])[row]
+                        row, shard = q[row][other := shard != own[q[row]]], shard[other]
+                        yield pd.DataFrame({"shard": shard, "vec_id": ids[row], "radius": radius[row], "embedding": embedding[row]})
 
         routes = stored(asked.mapInPandas(route, "shard bigint, vec_id bigint, radius double, embedding array<double>"), "routes")
         groups = F.broadcast(stored(routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups")), "groups"))
@@ -212,10 +233,10 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR,
     return best.select("vec_id", F.posexplode("near").alias("p", "x")).select("vec_id", (F.col("p") + 1).cast("bigint").alias("rank"), F.col("x.ids").alias("neighbour_id"), F.sqrt("x.squares").alias("distance"))
 
 
-#: neighbours() with its defaults over the embeddings table, for DuckDB; the search is exact at FACTOR 1.
+#: neighbours() with its defaults of the vectors whose id is divisible by EVERY, among all, for DuckDB; the search is exact at FACTOR 1.
 SQL = f"""
 WITH e AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
-d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), {DECIMALS}) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), {DECIMALS}) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, neighbour_id) AS rank FROM d)
 SELECT vec_id, rank, neighbour_id, sqrt(s) AS distance FROM r WHERE rank <= {NEIGHBOURS}
 """
