@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -53,14 +55,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between Spark and Python, where the session has Spark's own default: texts are long, and both sides hold whole batches.
+BATCH, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH))
+
+
 _state: dict[str, tuple] = {}
 
 
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def worker_state(name: str, owners: tuple, make: Callable[[], object]):
     """What an operator keeps in a Python worker between batches. A worker that turns to another operator, or to other owners (broadcast values, compared by identity), drops what it kept: workers are used again and again, and their caches would add up."""
     now = _state.get("now")
     if now is None or now[0] != name or any(a is not b for a, b in zip(now[1], owners, strict=True)):
         _state.clear()
+        if now is not None:
+            now = None
+            _give_back()
         now = _state["now"] = (name, owners, make())
     return now[2]
 
@@ -116,4 +140,5 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             for part in slices(batch, column):
                 yield fn(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -1,12 +1,13 @@
 """Mixing sources to target weights.
 
-Each source's documents, in the order of doc_id, are one stream of words, cut into blocks of
-BLOCK words. Output shards have SHARD slots; for each shard a multinomial draw says how many slots
-each source gets and where. The m-th draw of a source takes its block number p(m mod n), where n
-is its number of blocks and p a pseudorandom permutation (a Feistel network on [0, n) with cycle
-walking) that changes with each pass through the source. Slots then meet blocks in a join by
-source and index. Only indices pass through windows over a source; texts are shuffled twice at
-most, by ranges of documents and by block.
+Each source's documents are encoded and packed into blocks of BLOCK tokens. To pack in parallel, a
+source's stream is made of chunks: a hash of document and text deals documents to chunks, a
+chunk's documents follow each other in the order of doc_id, and its last block is shorter. The
+blocks of a source are numbered through, chunk by chunk. Output shards have SHARD slots; for each shard a multinomial draw says how many slots each source gets
+and where. The m-th draw of a source takes its block number p(m mod n), where n is its number of
+blocks and p a pseudorandom permutation (a Feistel network on [0, n) with cycle walking) that
+changes with each pass through the source. Slots then meet blocks in a join by index. Texts are
+shuffled once, to be packed, and tokens once, to meet their slots; all else moves numbers alone.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import stored
+from textquarry.llm.bpe import Encoder, Vocabulary
+from textquarry.llm.common import slices, small_batches, stored, worker_state
 
-#: Words in a block, slots in a shard, power of a source's size that its target weight is, seed of the draws.
+#: Tokens in a block, slots in a shard, power of a source's size that its target weight is, seed of the draws.
 BLOCK, SHARD, ALPHA, SEED = 2048, 64, 0.7, 17
-#: Documents in a range whose words are counted together, about.
-RANGE = 4096
+#: Documents in a chunk of the corpus, about; shards whose counts are added up together.
+CHUNK, SHARDS = 4096, 4096
 PRIME = 2147483647
-#: A word with the white space after it; white space that starts a text is a word of its own.
-WORD = r"[^ \t\n\r\f]+[ \t\n\r\f]*|[ \t\n\r\f]+"
 
 
 def hashed(*parts: Column) -> Column:
@@ -35,26 +37,119 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("bigint")
 
 
-def pieces(docs: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(source, block, doc_id, at, piece, n, *keep): the part of each document, n words from word `at` of the source on, that falls into each block."""
-    docs = docs.select("source", "doc_id", "text", *keep).where(F.col("source").isNotNull() & (F.length("text") > 0))
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, (int(high or 0) - int(low or 0) + 1) * RANGE // max(rows, 1))
-    words = docs.withColumns({"range": F.floor(F.coalesce(F.col("doc_id"), F.lit((low or 0) - 1)) / F.lit(width)), "words": F.regexp_count("text", F.lit(WORD)).cast("bigint")})
-    totals = words.groupBy("source", "range").agg(F.sum("words").alias("total"))
-    base = totals.select("source", "range", (F.sum("total").over(Window.partitionBy("source").orderBy("range")) - F.col("total")).alias("base"))
-    w = Window.partitionBy("source", "range").orderBy(F.col("doc_id").asc_nulls_first(), "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = words.withColumn("at", F.sum("words").over(w) - F.col("words")).join(base, ["source", "range"]).withColumn("at", F.col("at") + F.col("base"))
-    cut = placed.select("source", "doc_id", *keep, "at", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
-    size = F.size("w").cast("bigint")
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + size - 1) / block)
+def _stream(source: Column) -> Column:
+    """A name for a source, null too."""
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
 
-    def part(b: Column) -> Column:
-        lo = F.greatest(b * block, F.col("at"))
-        n = F.least((b + 1) * block, F.col("at") + size) - lo
-        return F.struct(b.alias("block"), lo.alias("at"), n.alias("n"), F.array_join(F.slice("w", (lo - F.col("at") + 1).cast("int"), n.cast("int")), "").alias("piece"))
 
-    return cut.select("source", "doc_id", *keep, F.explode(F.transform(F.sequence(first, last), part)).alias("p")).select("source", "p.block", "doc_id", "p.at", "p.piece", "p.n", *keep)
+def _source(stream: Column) -> Column:
+    return F.when(stream != "", F.substring(stream, 2, 1 << 30))
+
+
+class _Packer:
+    """Packs the token ids of documents into blocks; keeps the one that isn't full."""
+
+    def __init__(self, block: int):
+        self.block, self.key, self.number, self.size, self.parts = block, None, 0, 0, []
+        self.out: list[tuple] = []
+
+    def _close(self) -> None:
+        if self.size:
+            self.out.append((*self.key, self.number, self.size, self.parts))
+            self.number, self.size, self.parts = self.number + 1, 0, []
+
+    def add(self, key: tuple, ids: np.ndarray, of) -> None:
+        """of(a, b): what is kept of a document's tokens a to b."""
+        if key != self.key:
+            self.end()
+            self.key, self.number = key, 0
+        at = 0
+        while at < len(ids):
+            n = min(len(ids) - at, self.block - self.size)
+            self.parts.append((*of(at, at + n), ids[at : at + n]))
+            self.size += n
+            at += n
+            if self.size == self.block:
+                self._close()
+
+    def end(self) -> None:
+        if self.key is not None:
+            self._close()
+
+
+def _bounds(raw: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Where each token of a text ends, in bytes, moved on to the next character's start."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(raw + b" ", np.uint8)
+    while (inside := data[ends] & 0xC0 == 0x80).any():
+        ends = ends + inside
+    return ends
+
+
+def blocks(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+    """(stream, chunk, number, n_tokens, doc_ids, tokens): the packed blocks of each stream's chunks. With texts, in place of tokens: parts, an array of (doc_id, *keep, text), whose texts are cut at characters: one that a border of blocks cuts in two counts to the block it starts in."""
+    kinds = dict(docs.dtypes)
+    docs = docs.select("source", "doc_id", "text", *keep).where(F.length("text") > 0)
+    # a chunk may hold a number of documents that follows the table's size alone
+    chunks = max(1, -(-docs.count() // CHUNK))
+    # the text is hashed too: rows with one doc_id, or none, needn't come together
+    docs = docs.select(_stream(F.col("source")).alias("stream"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text", *keep)
+    docs = docs.repartition("stream", "chunk").sortWithinPartitions("stream", "chunk", F.col("doc_id").asc_nulls_first(), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    fields = ", ".join(f"`{c}`: {kinds[c]}" for c in keep)
+    parts = f"parts array<struct<doc_id: {kinds['doc_id']}, {fields}{', ' if keep else ''}text: string>>" if texts else f"doc_ids array<{kinds['doc_id']}>, tokens array<int>"
+
+    def made():
+        v = shared.value
+        sizes = np.zeros(max(v.ranks.values()) + 1, np.int64)
+        for token, rank in v.ranks.items():
+            sizes[rank] = len(token)
+        fast = tiktoken.Encoding("mixing", pat_str=v.pattern, mergeable_ranks=v.ranks, special_tokens={})
+
+        def ids(text: str) -> np.ndarray:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern's stack ends at runs of about a million spaces
+                return np.frombuffer(Encoder(v).encode([text])[0], np.int32)
+
+        return ids, sizes
+
+    def batch_of(out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3))]
+        names, own = ["stream", "chunk", "number", "n_tokens"], [p for r in out for p in r[4]]
+        offsets = pa.array(np.cumsum([0, *(len(r[4]) for r in out)]), pa.int32())
+        flat = [pa.array([p[i] for p in own], t) for i, t in enumerate(types)]
+        if texts:
+            struct = pa.StructArray.from_arrays([*flat, pa.array([p[len(types)] for p in own], pa.string())], names=["doc_id", *keep, "text"])
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, struct)], names=[*names, "parts"])
+        tokens = np.concatenate([p[-1] for p in own]).astype(np.int32) if own else np.empty(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[3] for r in out)]), pa.int32()), pa.array(tokens))
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat[0]), lists], names=[*names, "doc_ids", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded, sizes = worker_state("mixing", (shared.value,), made)
+        packer, types = _Packer(block), None
+        for batch in batches:
+            for part in slices(batch):
+                types = [part.schema.field(c).type for c in ("doc_id", *keep)]
+                rows = zip(*(part.column(c).to_pylist() for c in ("stream", "chunk", "text", "doc_id", *keep)))
+                for stream, chunk, text, *own in rows:
+                    ids = encoded(text)
+                    if texts:
+                        raw = text.encode()
+                        ends = _bounds(raw, sizes[ids])
+                        packer.add((stream, chunk), ids, lambda a, b, own=own, raw=raw, ends=ends: (*own, raw[ends[a] : ends[b]].decode()))
+                    else:
+                        packer.add((stream, chunk), ids, lambda a, b, own=own: own)
+                if packer.out:
+                    yield batch_of(packer.out, types)
+                    packer.out = []
+        packer.end()
+        if packer.out:
+            yield batch_of(packer.out, types)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, f"stream string, chunk bigint, number bigint, n_tokens bigint, {parts}")
 
 
 def permuted(source: str, epoch: int, i: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
@@ -76,108 +171,73 @@ def permuted(source: str, epoch: int, i: np.ndarray, n: int, seed: int = SEED) -
     return out
 
 
-def slots(sizes: DataFrame, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED, cover: bool = False) -> DataFrame:
-    """(shard, slot, source, epoch, block) from (source, blocks): which block each slot gets. A row for each source is all that the driver sees. cover: as many slots as it takes for each source to be drawn through once, five deviations to be sure, in place of as many as there are blocks."""
+def before(df: DataFrame, by: str, order: str, n: str, run: int) -> DataFrame:
+    """df, in which `order` counts from 0, with `before`: the sum of n over the rows of the same `by` and a lower `order`. Sums of runs are added up first, so that no window holds all rows of a key."""
+    df = df.withColumn("run", F.floor(F.col(order) / run))
+    sums = df.groupBy(by, "run").agg(F.sum(n).alias("sum"))
+    base = sums.select(by, "run", (F.sum("sum").over(Window.partitionBy(by).orderBy("run")) - F.col("sum")).alias("base"))
+    inside = F.sum(n).over(Window.partitionBy(by, "run").orderBy(order)) - F.col(n)
+    return df.withColumn("inside", inside).join(base, [by, "run"]).withColumn("before", F.col("base") + F.col("inside")).drop("run", "base", "inside")
+
+
+def slots(sizes: DataFrame, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(shard, slot, stream, epoch, block) from (stream, blocks): which block each of as many slots as there are blocks gets. A row for each source is all that the driver sees."""
     spark = sizes.sparkSession
-    known = sorted((r.source, int(r.blocks)) for r in sizes.collect())
+    known = sorted((r.stream, int(r.blocks)) for r in sizes.collect())
     weights = [int(np.floor(1000 * n**alpha)) for _, n in known]
     total, everything = sum(weights), sum(n for _, n in known)
-    if cover:
-        everything = max([0, *(int(np.ceil((n + 5 * np.sqrt(n)) * total / w)) for (_, n), w in zip(known, weights))])
-    sources = spark.createDataFrame([(s, n, w) for (s, n), w in zip(known, weights)], "source string, blocks bigint, weight bigint")
+    streams = spark.createDataFrame([(s, n) for s, n in known], "stream string, blocks bigint")
     bounds = np.cumsum([0, *weights]).tolist()
     drawn = spark.range(everything).select(F.floor(F.col("id") / shard).alias("shard"), (F.col("id") % shard).alias("slot"), (hashed(F.lit(seed), F.col("id")) % F.lit(max(total, 1))).alias("u"))
     names = F.array(*(F.lit(s) for s, _ in known)) if known else F.array(F.lit(""))
     # the source whose range of weights holds u
     place = F.size(F.filter(F.array(*(F.lit(b).cast("bigint") for b in bounds)), lambda b: b <= F.col("u")))
-    drawn = drawn.select("shard", "slot", F.element_at(names, place).alias("source"))
-    counts = drawn.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("source", "shard", (F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n")).alias("before"))
-    numbered = drawn.withColumn("k", F.row_number().over(Window.partitionBy("source", "shard").orderBy("slot")) - 1)
-    m = numbered.join(before, ["source", "shard"]).join(F.broadcast(sources), "source").select("shard", "slot", "source", "blocks", (F.col("before") + F.col("k")).alias("m"))
+    drawn = drawn.select("shard", "slot", F.element_at(names, place).alias("stream"), F.floor(F.col("shard") / SHARDS).alias("run"))
+    # draws are numbered in runs of shards, to which what came before is added, so that no window holds all of a stream
+    base = drawn.groupBy("stream", "run").agg(F.count(F.lit(1)).alias("n"))
+    base = base.select("stream", "run", (F.sum("n").over(Window.partitionBy("stream").orderBy("run")) - F.col("n")).alias("base"))
+    numbered = drawn.withColumn("k", F.row_number().over(Window.partitionBy("stream", "run").orderBy("shard", "slot")) - 1)
+    m = numbered.join(base, ["stream", "run"]).join(F.broadcast(streams), "stream").select("shard", "slot", "stream", "blocks", (F.col("base") + F.col("k")).alias("m"))
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f["epoch"] = f.m // f.blocks
             f["block"] = f.m % f.blocks
-            for (source, epoch), own in f.groupby(["source", "epoch"]):
-                f.loc[own.index, "block"] = permuted(source, int(epoch), own.block.to_numpy(), int(own.blocks.iloc[0]), seed)
-            yield f[["shard", "slot", "source", "epoch", "block"]]
+            for (stream, epoch), own in f.groupby(["stream", "epoch"]):
+                f.loc[own.index, "block"] = permuted(stream, int(epoch), own.block.to_numpy(), int(own.blocks.iloc[0]), seed)
+            yield f[["shard", "slot", "stream", "epoch", "block"]]
 
-    return m.mapInPandas(mapped, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
+    return m.mapInPandas(mapped, "shard bigint, slot bigint, stream string, epoch bigint, block bigint")
 
 
-def _sizes(docs: DataFrame, block: int) -> DataFrame:
-    n = F.regexp_count("text", F.lit(WORD)).cast("bigint")
-    return docs.where(F.col("source").isNotNull() & (F.length("text") > 0)).groupBy("source").agg(F.ceil(F.sum(n) / block).alias("blocks"))
+def _mixed(packed: DataFrame, shard: int, alpha: float, seed: int) -> DataFrame:
+    """The rows of packed, a written table, that the slots draw, with shard, slot, source, epoch and block."""
+    chunks = packed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    chosen = slots(chunks.groupBy("stream").agg(F.sum("n").alias("blocks")), shard, alpha, seed)
+    numbers = before(chunks, "stream", "chunk", "n", CHUNK).select("stream", "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("number"), "before")
+    placed = chosen.join(numbers.select("stream", "chunk", "number", (F.col("before") + F.col("number")).alias("block")), ["stream", "block"])
+    # the slots' rows are small: hashed, they spare the blocks a sort
+    return packed.join(placed.hint("shuffle_hash"), ["stream", "chunk", "number"]).withColumn("source", _source(F.col("stream")))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(shard, slot, source, epoch, block, n_words, doc_ids, text): the mixed blocks, as many as the corpus has.
+def mix(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(shard, slot, source, epoch, block, n_tokens, doc_ids, tokens): the mixed blocks, as many as the corpus has.
 
-    A source's target weight is its number of blocks to the power alpha. Documents with a null
-    source, or a null or empty text, take no part. The last block of a source is shorter. Null
-    ids come first in a source; rows with one doc_id follow each other in the order of their
-    texts; repeated rows count each. Texts of any length are cut at block borders. Other
-    columns are ignored whatever their names. An empty table gives an empty one.
+    A source's target weight is its number of blocks to the power alpha: large sources lose
+    blocks to small ones, which come again. Rows with a null source are a source of their own.
+    Documents with a null or empty text take no part. A block has `block` tokens but the last of
+    each chunk of a source. Null ids come first in a chunk; rows with one doc_id in one chunk
+    follow each other in the order of their texts; repeated rows count each. Texts of any length
+    are cut at block borders. Other columns are ignored whatever their names. An empty table
+    gives an empty one.
     """
-    parts = pieces(docs, block)
-    blocks = parts.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "piece"))).alias("p"), F.sum("n").alias("n_words"))
-    chosen = slots(_sizes(docs, block), shard, alpha, seed)
-    return chosen.join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_words", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.piece", "").alias("text"))
+    packed = stored(blocks(docs, vocabulary, block), "blocks")
+    return _mixed(packed, shard, alpha, seed).select("shard", "slot", "source", "epoch", "block", "n_tokens", "doc_ids", "tokens")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The mix as documents: for each slot the parts of documents in its block, with their doc_id, lang and source and their own n_chars, in the columns doc_id, text, lang, source, n_chars. Every source is drawn through at least once, so that no document is lost to chance; with many slots to a source, some of its parts come again. The rest as for mix()."""
-    parts = pieces(docs, block, ("lang",))
-    chosen = stored(slots(_sizes(docs, block), shard, alpha, seed, cover=True), "slots")
+def mixed_documents(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK, shard: int = SHARD, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """The mix as documents: for each slot that mix() would fill, the parts of documents in its block, with their doc_id, lang and source and their own n_chars, in the columns doc_id, text, lang, source, n_chars. What large sources lose and small ones repeat, and the rest, as for mix()."""
+    packed = stored(blocks(docs, vocabulary, block, ("lang",), texts=True), "blocks")
+    parts = _mixed(packed, shard, alpha, seed).select("source", F.explode("parts").alias("p"))
     kinds = dict(docs.dtypes)
-    return chosen.join(parts, ["source", "block"]).select("doc_id", F.col("piece").alias("text"), "lang", "source", F.length("piece").cast(kinds.get("n_chars", "bigint")).alias("n_chars"))
-
-
-#: mix() with its defaults, for DuckDB.
-SQL = rf"""
-WITH RECURSIVE tok AS (
-  SELECT source, doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+[ \t\n\r\f]*|[ \t\n\r\f]+') AS w, text
-  FROM documents WHERE source IS NOT NULL AND length(text) > 0
-), placed AS (
-  SELECT source, doc_id, w, len(w) AS n, CAST(sum(len(w)) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - len(w) AS a FROM tok
-), cut AS (
-  SELECT source, doc_id, w, n, a, unnest(range(a // {BLOCK}, (a + n - 1) // {BLOCK} + 1)) AS block FROM placed
-), part AS (
-  SELECT source, block, doc_id, greatest(block * {BLOCK}, a) AS lo, least((block + 1) * {BLOCK}, a + n) AS hi, a, w FROM cut
-), blocks AS (
-  SELECT source, block, CAST(sum(hi - lo) AS BIGINT) AS n_words, list(doc_id ORDER BY lo) AS doc_ids, string_agg(array_to_string(w[lo - a + 1 : hi - a], ''), '' ORDER BY lo) AS text
-  FROM part GROUP BY source, block
-), sizes AS (
-  SELECT source, max(block) + 1 AS blocks FROM blocks GROUP BY source
-), weighed AS (
-  SELECT source, blocks, CAST(floor(1000 * pow(blocks, {ALPHA})) AS BIGINT) AS weight FROM sizes
-), bounded AS (
-  SELECT source, blocks, CAST(sum(weight) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, weight FROM weighed
-), drawn AS (
-  SELECT i // {SHARD} AS shard, i % {SHARD} AS slot, CAST('0x' || substr(md5('{SEED}|' || i), 1, 12) AS BIGINT) % (SELECT CAST(sum(weight) AS BIGINT) FROM weighed) AS u
-  FROM (SELECT unnest(range((SELECT CAST(sum(blocks) AS BIGINT) FROM sizes))) AS i)
-), numbered AS (
-  SELECT shard, slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY shard, slot) - 1 AS m
-  FROM drawn JOIN bounded ON u >= hi - weight AND u < hi
-), keyed AS (
-  SELECT shard, slot, source, blocks, m // blocks AS epoch, m % blocks AS i, CAST(ceil(sqrt(blocks)) AS BIGINT) AS h,
-    CAST('0x' || substr(md5('{SEED}|' || source || '|' || (m // blocks) || '|0'), 1, 12) AS BIGINT) % {PRIME} AS k0,
-    CAST('0x' || substr(md5('{SEED}|' || source || '|' || (m // blocks) || '|1'), 1, 12) AS BIGINT) % {PRIME} AS k1,
-    CAST('0x' || substr(md5('{SEED}|' || source || '|' || (m // blocks) || '|2'), 1, 12) AS BIGINT) % {PRIME} AS k2,
-    CAST('0x' || substr(md5('{SEED}|' || source || '|' || (m // blocks) || '|3'), 1, 12) AS BIGINT) % {PRIME} AS k3
-  FROM numbered
-), walk AS (
-  SELECT *, i AS x, false AS moved FROM keyed
-  UNION ALL
-  SELECT * EXCLUDE (a0, b0, b1, b2, b3, b4, x, moved), b3 * h + b4 AS x, true AS moved FROM (
-    SELECT *, (b2 + ((b3 * 1103515245 + k3) % {PRIME}) * ((b3 * 1103515245 + k3) % {PRIME}) % {PRIME}) % h AS b4 FROM (
-      SELECT *, (b1 + ((b2 * 1103515245 + k2) % {PRIME}) * ((b2 * 1103515245 + k2) % {PRIME}) % {PRIME}) % h AS b3 FROM (
-        SELECT *, (b0 + ((b1 * 1103515245 + k1) % {PRIME}) * ((b1 * 1103515245 + k1) % {PRIME}) % {PRIME}) % h AS b2 FROM (
-          SELECT *, (a0 + ((b0 * 1103515245 + k0) % {PRIME}) * ((b0 * 1103515245 + k0) % {PRIME}) % {PRIME}) % h AS b1 FROM (
-            SELECT *, x // h AS a0, x % h AS b0 FROM walk WHERE NOT moved OR x >= blocks)))))
-)
-SELECT shard, slot, w.source AS source, epoch, w.x AS block, n_words, doc_ids, text
-FROM walk w JOIN blocks b ON w.source = b.source AND w.x = b.block WHERE moved AND w.x < w.blocks
-"""
+    return parts.select("p.doc_id", "p.text", "p.lang", "source", F.length("p.text").cast(kinds.get("n_chars", "bigint")).alias("n_chars"))
