@@ -125,10 +125,13 @@ def occurrences(corpus: Corpus, spec: SearchSpec) -> DataFrame:
     return matched_docs(corpus, spec, ("tf",)).select("path", F.col("tf").alias("n"))
 
 
-def grouped(results: DataFrame, most: int = 5) -> DataFrame:
-    """(path, bm25_score, n_lines, lines): results by document with its first lines, in their order."""
-    own = F.array_sort(F.collect_list(F.struct("line_number", "line_content")))
-    return results.groupBy("path").agg(F.max("bm25_score").alias("bm25_score"), F.count(F.lit(1)).alias("n_lines"), own.alias("lines")).withColumn("lines", F.slice("lines", 1, most))
+def grouped(corpus: Corpus, spec: SearchSpec, most: int = 5) -> DataFrame:
+    """(path, bm25_score, n_lines, lines): each document with a matching line, how many it has, and its first ones as (line_number, line_content). No shuffle: a document is one row."""
+    m = spec.matcher
+    numbered = F.transform(lines(F.col("text")), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_number"), x.alias("line_content")))
+    found = matched_docs(corpus, spec).select("path", "bm25_score", F.filter(numbered, lambda s: m.matches(s["line_content"])).alias("all"))
+    found = found.select("path", "bm25_score", F.size("all").cast("bigint").alias("n_lines"), F.slice("all", 1, most).alias("lines")).where("n_lines > 0")
+    return found if spec.include is None else found.where(simple_glob(name_of(F.col("path")), spec.include))
 
 
 def ranked(corpus: Corpus, spec: SearchSpec, top: int) -> DataFrame:

@@ -89,10 +89,10 @@ _search("pages_search", "contains(line, '<p')", "pages", "page_id", "html", patt
 _search("benchmark_search", "regexp_matches(line, '[a-z]{3}on[.]')", "benchmark", "item_id", "text", patterns=(r"[a-z]{3}on\.",))
 
 
-@_add("conversations_search", "SELECT conv_id || '/' || turn AS path, 1 + CAST(len(text[:instr(text, 'the') - 1]) - len(replace(text[:instr(text, 'the') - 1], chr(10), '')) AS BIGINT) AS first_line FROM conversations WHERE contains(text, 'the')")
+@_add("conversations_search", _lines("(SELECT conv_id || '/' || turn AS path, text FROM conversations)", "path") + "SELECT path, line_number, line FROM lines WHERE contains(line, 'the')")
 def conversations_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _read(spark, sf_dir, "conversations").withColumn("path", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return s.search(Corpus.from_table(table, "path"), s.SearchSpec(("the",), False, max_count=1)).select("path", F.col("line_number").alias("first_line"))
+    return _found(s.search(Corpus.from_table(table, "path"), s.SearchSpec(("the",), False)), "path")
 
 
 @_add(
@@ -262,7 +262,7 @@ def vec_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("grouped_results", _lines() + "SELECT doc_id, count(*) AS n_lines, array_to_string(list(line ORDER BY line_number)[:5], chr(10)) AS shown FROM lines WHERE contains(line, 'the') GROUP BY doc_id")
 def grouped_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.grouped(s.search(_docs(spark, sf_dir), s.SearchSpec(("the",), False))).select(F.col("path").alias("doc_id"), "n_lines", F.array_join("lines.line_content", "\n").alias("shown"))
+    return s.grouped(_docs(spark, sf_dir), s.SearchSpec(("the",), False)).select(F.col("path").alias("doc_id"), "n_lines", F.array_join("lines.line_content", "\n").alias("shown"))
 
 
 @_add("text_output", _lines() + "SELECT doc_id || ':' || line_number || ':' || line AS line FROM lines WHERE contains(line, 'license')")
