@@ -129,10 +129,9 @@ class Crf:
         return labels
 
 
-def train(texts: list[str], good: list[int], rounds: int = ROUNDS) -> Crf:
-    """Gradient ascent (Adagrad) with the forward-backward sums over all sequences at once; documents of the rarer label weigh more, so that both count alike. Without documents of both labels every line is content."""
+def train(x: np.ndarray, doc: np.ndarray, good: list[int], rounds: int = ROUNDS) -> Crf:
+    """From the features of all lines, the number of each one's document and the documents' labels. Gradient ascent (Adagrad) with the forward-backward sums over all sequences at once; documents of the rarer label weigh more, so that both count alike. Without documents of both labels every line is content."""
     emit, move, first = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
-    x, doc, _ = line_features(texts)
     gold = np.array(good, np.int64)
     if not len(x) or not 0 < gold[np.unique(doc)].sum() < len(np.unique(doc)):
         return Crf(emit, move, first)
@@ -181,9 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = docs.select("doc_id").where("text IS NOT NULL AND doc_id IS NOT NULL").distinct()
     drawn = stored(labels.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "drawn")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [int(r.quality == 1) for r in rows])
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The lines' features as bits: texts stay where they are."""
+        x, doc, _ = line_features(batch.column("text").to_pylist())
+        own = np.split(x.astype(np.uint8), np.searchsorted(doc, np.arange(1, batch.num_rows))) if batch.num_rows else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([np.packbits(f, axis=1).tobytes() for f in own], pa.binary())], names=["doc_id", "quality", "x"])
+
+    found = sorted(map_slices(rows, lines, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, x binary").collect())
+    width = -(-FEATURES // 8)
+    own = [np.unpackbits(np.frombuffer(bytes(r.x), np.uint8).reshape(-1, width), axis=1, count=FEATURES) for r in found]
+    x = np.concatenate(own).astype(np.float64) if own else np.zeros((0, FEATURES))
+    return train(x, np.repeat(np.arange(len(own)), [len(f) for f in own]), [int(r.quality == 1) for r in found])
 
 
 def quality(docs: DataFrame, model: Crf, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -192,7 +201,7 @@ def quality(docs: DataFrame, model: Crf, least_share: float = LEAST_SHARE) -> Da
     content_share is by bytes. Repeated rows and null ids give a row each; other columns are
     ignored whatever their names. A null or empty text, or one of empty lines alone, has no
     content to lose: share 0, not kept. Whole texts of any length are decoded. An empty table
-    gives an empty one.
+    gives an empty one. Of equally good label sequences content wins at the last line that differs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
