@@ -103,19 +103,21 @@ class Generations:
 
     def find(self, keys: list[str], make: Callable[[list[str]], Iterable]) -> list:
         """The value of each key, never None; make gives those of keys that aren't kept, distinct ones in one call."""
-        out = list(map(self.young.get, keys))
-        missing = {k for k, v in zip(keys, out) if v is None}
+        young, old = self.young, self.old
+        missing = set(keys).difference(young)
         if not missing:
-            return out
-        kept = self.old.get
-        found = {k: v for k in missing if (v := kept(k)) is not None}
-        if len(self.young) + len(missing) > self.limit:
-            self.old, self.young = self.young, {}
-        fresh = [k for k in missing if k not in found] if found else list(missing)
+            return list(map(young.__getitem__, keys))
+        found = {k: old[k] for k in missing if k in old}
+        fresh = list(missing.difference(found))
         found.update(zip(fresh, make(fresh), strict=True))
-        longest = self.longest
-        self.young.update((k, v) for k, v in found.items() if len(k) <= longest)
-        return [found[k] if v is None else v for k, v in zip(keys, out)]
+        swap, long = len(young) + len(found) > self.limit, [k for k in fresh if len(k) > self.longest]
+        if swap:
+            self.old, self.young = young, {}
+        self.young.update(found)
+        out = [found[k] if k in found else young[k] for k in keys] if swap else list(map(young.__getitem__, keys))
+        for k in long:
+            del self.young[k]
+        return out
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -16,16 +16,17 @@ regression on the examples themselves, each left out.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Generations, map_slices, slices, stored, worker_state
+from textquarry.llm.common import map_slices, slices, stored, worker_state
+from textquarry.llm.repeats import Words
 
 #: Labelled rows that the index holds at most: those first in the order of a hash of doc_id.
 EXAMPLES = 4000
@@ -33,34 +34,77 @@ EXAMPLES = 4000
 NEIGHBOURS, THRESHOLD = 15, 0.5
 #: Examples in a block, common terms, documents and postings that are looked at together. They bear on time alone.
 BLOCK, HEAD, TOGETHER, POSTINGS = 64, 512, 256, 1_000_000
-CACHE = 100_000
+#: Strings that a worker's table holds; it bears on time alone.
+KNOWN = 300_000
 
 _words = re.compile(r"[^\W_]+").findall
 
 
 class Counts:
-    """Counts the terms of texts over a vocabulary; words outside it don't count."""
+    """Counts the words of texts over a vocabulary; words outside it don't count.
+
+    What white space divides is looked up by a 64-bit hash in an open table of arrays, which
+    stays in the processor's cache; only strings that aren't in it are cut into words. A full
+    table is emptied.
+    """
 
     def __init__(self, vocabulary: list[str]):
         self.index = {t: i for i, t in enumerate(vocabulary)}
-        self.known = Generations(CACHE)
-
-    def _numbers(self, chunks: list[str]) -> Iterator[bytes]:
+        self._empty(KNOWN)
+
+    def _empty(self, limit: int) -> None:
+        self.limit, self.used, bits = limit, 0, max(1, (2 * limit - 1).bit_length())
+        self.keys, self.entry, self.shift = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64(64 - bits)
+        self.start, self.size, self.flat = np.zeros(limit, np.int64), np.zeros(limit, np.int64), np.empty(0, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 for none."""
+        out, slot, left = np.full(len(h), -1, np.int64), (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            key = self.keys[slot[left]]
+            hit = key == h[left]
+            out[left[hit]] = self.entry[slot[left[hit]]]
+            left = left[~hit & (key != 0)]
+            slot[left] = (slot[left] + 1) % len(self.keys)
+        return out
+
+    def _add(self, h: np.ndarray, chunks: list[str]) -> None:
+        """Entries for distinct hashes that have none."""
         get = self.index.get
-        for chunk in chunks:
-            yield array("i", [i for w in _words(chunk) if (i := get(w)) is not None]).tobytes()
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts, one after another: where each one's terms start (and the end), the terms, ascending, and their counts."""
-        cut = [t.lower().split() for t in texts]
-        found = self.known.find([c for own in cut for c in own], self._numbers)
-        ends = np.cumsum([0, *map(len, cut)])
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])[ends] // 4
-        flat = np.frombuffer(b"".join(found), np.int32)
-        doc = np.repeat(np.arange(len(texts)), np.diff(sizes))
+        lists = [[i for w in _words(c) if (i := get(w)) is not None] for c in chunks]
+        own = np.arange(self.used, self.used + len(h))
+        self.size[own] = np.fromiter(map(len, lists), np.int64, len(h))
+        self.start[own] = len(self.flat) + np.cumsum(self.size[own]) - self.size[own]
+        self.flat = np.concatenate([self.flat, np.array([i for x in lists for i in x], np.int32)])
+        self.used += len(h)
+        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]], self.entry[slot[free]] = h[free], own[free]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts, one after another: where each one's terms start (and the end), the terms, ascending, and their counts. A null text has none."""
+        words = Words(pc.utf8_lower(texts))
+        h = words.hashes()
+        h[h == 0] = 1
+        entry = self._find(h)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            if self.used + len(new) > self.limit:
+                miss = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+                self._empty(max(KNOWN, len(new)))
+            at, raw = miss[first], words.raw.tobytes()
+            self._add(new, [raw[a:b].decode() for a, b in zip(words.first[at].tolist(), words.last[at].tolist())])
+            entry[miss] = self._find(h[miss])
+        n = self.size[entry]
+        doc = np.repeat(np.repeat(np.arange(len(texts)), np.diff(words.starts)), n)
         size = max(len(self.index), 1)
-        key, n = np.unique(doc * size + flat, return_counts=True)
-        return np.searchsorted(key, np.arange(len(texts) + 1) * size), key % size, n
+        key, count = np.unique(doc * size + self.flat[_ranges(self.start[entry], n)], return_counts=True)
+        return np.searchsorted(key, np.arange(len(texts) + 1) * size), key % size, count
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -208,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     def seen(batches):
         for batch in batches:
             n: Counter[tuple[str, int]] = Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n.update((t, label) for t in set(_words(text.lower())))
+            for text, label in zip(pc.utf8_lower(batch.column("text")).to_pylist(), batch.column("toxic").to_pylist()):
+                n.update((t, label) for t in set(_words(text)))
             yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in n], pa.string()), "toxic": pa.array([x for _, x in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
 
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -226,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         counts = worker_state("toxicity terms", (shared.value,), lambda: Counts(shared.value))
         for batch in batches:
             for part in slices(batch):
-                n += np.bincount(counts(part.column("text").to_pylist())[1], minlength=len(n))
+                n += np.bincount(counts(part.column("text"))[1], minlength=len(n))
                 all_ += part.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], all_))], names=["term", "n"])
@@ -241,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     def vectors(batches):
         counts = Counts(shared.value)
         for batch in batches:
-            at, i, count = counts(batch.column("text").to_pylist())
+            at, i, count = counts(batch.column("text"))
             lists = (pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (i, count))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "i", "n"])
 
@@ -266,7 +310,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         counts = worker_state("toxicity", (m,), lambda: Counts(m.vocabulary))
-        at, term, count = counts([t or "" for t in batch.column("text").to_pylist()])
+        at, term, count = counts(batch.column("text"))
         without = [x if x in m.index.number else None for x in batch.column("doc_id").to_pylist()]
         weight = m.unit(at, term, count, np.array([w is not None for w in without], bool))
         scores, near = [], []
