@@ -434,6 +434,22 @@ def test_toxicity_held_out_and_exact(spark, labelled):
         assert np.allclose([e.similarity for e in r.evidence], [-s for s, _ in near], atol=2e-9)
 
 
+def test_counts_of_terms(monkeypatch):
+    """Against a plain count, with a table that is emptied again and again."""
+    r = random.Random(2)
+    vocabulary = sorted({w + str(i) for w in WORDS for i in range(40)} | {"wörter", "漢字", "i"})
+    texts = [" ".join(r.choice((x, x.upper(), x + ",", f"({x})", f"{x}-{x}", "none", "漢字 Wörter")) for x in r.choices(vocabulary, k=r.randint(0, 60))) for _ in range(60)] + [None, "", "  "]
+    for known in (1, 50, 5000):
+        monkeypatch.setattr(toxicity, "KNOWN", known)
+        counts = toxicity.Counts(vocabulary)
+        for a in range(0, len(texts), 9):
+            own = texts[a : a + 9]
+            at, term, n = counts(pa.array(own, pa.string()))
+            for i, t in enumerate(own):
+                want = Counter(w for w in regex.findall(r"[^\W_]+", (t or "").lower()) if w in set(vocabulary))
+                assert {vocabulary[x]: y for x, y in zip(term[at[i] : at[i + 1]], n[at[i] : at[i + 1]])} == want
+
+
 @pytest.mark.parametrize("block, head", [(4, 0), (4, 5), (64, 40), (1, 1000)])
 def test_block_max_index_is_exact(block, head):
     rng = np.random.default_rng(block + head)
