@@ -226,38 +226,34 @@ def _windows(length: int, rounds: int):
     return run
 
 
+_NAMES = ["doc_id", "first_word", "last_word", "start", "end", "first_doc_id"]
+
+
+def _passages(doc: np.ndarray, first_word: np.ndarray, last_word: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip((doc, first_word, last_word, a, b, first), (np.int64, *(np.int32,) * 4, np.int64))], names=_NAMES)
+
+
 def _merged(length: int):
     def run(batches):
         """Windows of one document, in order, to passages: windows that overlap or touch are one."""
         for batch in batches:
-            out: list[tuple[int, int, int, int, int, int]] = []
-            for doc_id, windows in zip(batch.column("doc_id").to_pylist(), batch.column("windows").to_pylist()):
-                now: list[int] | None = None
-                for w in windows:
-                    if now and w["word"] <= now[1]:
-                        now[1], now[3], now[4] = w["word"] + length, w["b"], min(now[4], w["first"])
-                    else:
-                        if now:
-                            out.append((doc_id, *now))
-                        now = [w["word"], w["word"] + length, w["a"], w["b"], w["first"]]
-                if now:
-                    out.append((doc_id, *now))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            names = ["doc_id", "first_word", "last_word", "start", "end", "first_doc_id"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            lists = batch.column("windows")
+            word, a, b, first = (x.to_numpy() for x in lists.flatten().flatten())
+            doc = np.repeat(batch.column("doc_id").to_numpy(), lists.value_lengths().to_numpy())
+            at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + length))) if len(doc) else np.empty(0, np.int64)
+            end = np.append(at[1:], len(doc)) - 1
+            yield _passages(doc[at], word[at], word[end] + length, a[at], b[end], np.minimum.reduceat(first, at) if len(at) else first)
 
     return run
 
 
 def _whole(length: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        n = [len(t.split()) for t in texts]
-        a = [len(t) - len(t.lstrip()) for t in texts]
-        b = [len(t.rstrip()) for t in texts]
-        out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([0] * len(n), pa.int32()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), batch.column("first_doc_id")], names=["doc_id", "first_word", "last_word", "start", "end", "first_doc_id"])
-        return out.filter(pa.array([x >= length for x in n], pa.bool_()))
+        words = Words(batch.column("text"))
+        n = np.diff(words.starts)
+        d = np.flatnonzero(n >= length)
+        a, b = words.chars(words.first[words.starts[d]], d), words.chars(words.last[words.starts[d + 1] - 1], d)
+        return _passages(batch.column("doc_id").to_numpy()[d], np.zeros(len(d), np.int64), n[d], a, b, batch.column("first_doc_id").to_numpy()[d])
 
     return run
 
