@@ -15,7 +15,13 @@ from textquarry.functions.vectors import cosine
 
 _rows: dict[tuple[int, int, int], np.ndarray] = {}
 #: Bytes of rows that a process keeps; words whose rows are added up together.
-ROWS_BYTES, WORDS = 64 << 20, 20_000
+ROWS_BYTES, WORDS = 112 << 20, 20_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fnv1a(term: str) -> int:
@@ -34,14 +40,30 @@ class RandomProjection:
     buckets: int = 100_000
     seed: int = 20_26
 
-    def row(self, term: str) -> np.ndarray:
-        """The term's row, whose entries have variance 1 / dim. The same in every process."""
-        key = (self.seed, self.dim, fnv1a(term) % self.buckets)
-        if key not in _rows:
-            if len(_rows) * self.dim * 8 > ROWS_BYTES:
+    def _made(self, buckets: np.ndarray) -> np.ndarray:
+        """The rows of the buckets: normal numbers by Box and Muller's way from hashed counters, so that all are made at once and are the same in every process."""
+        half = -(-self.dim // 2)
+        counters = buckets.astype(np.uint64)[:, None] * np.uint64(half) + np.arange(half, dtype=np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        first = _mixed(counters * np.uint64(0xD6E8FEB86659FD93))
+        u, v = ((first >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24), (_mixed(first ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(40)).astype(np.float32) * np.float32(2 * np.pi * 2**-24)
+        size = np.sqrt(np.float32(-2) * np.log(u))
+        return np.concatenate([size * np.cos(v), size * np.sin(v)], axis=1)[:, : self.dim] / np.float32(np.sqrt(self.dim))
+
+    def rows(self, terms: list[str]) -> np.ndarray:
+        """Each term's row, whose entries have variance 1 / dim."""
+        keys = [(self.seed, self.dim, fnv1a(t) % self.buckets) for t in terms]
+        missing = sorted({k for k in keys if k not in _rows})
+        if missing:
+            if (len(_rows) + len(missing)) * self.dim * 4 > ROWS_BYTES:
                 _rows.clear()
-            _rows[key] = np.random.Generator(np.random.PCG64([self.seed, key[2]])).standard_normal(self.dim) / np.sqrt(self.dim)
-        return _rows[key]
+                missing = sorted(set(keys))
+            for at in range(0, len(missing), 1024):
+                own = missing[at : at + 1024]
+                _rows.update(zip(own, self._made(np.array([k[2] for k in own]))))
+        return np.stack([_rows[k] for k in keys]) if keys else np.zeros((0, self.dim), np.float32)
+
+    def row(self, term: str) -> np.ndarray:
+        return self.rows([term])[0]
 
     def vector(self, words: list[str]) -> np.ndarray:
         out = np.zeros(self.dim)
@@ -62,14 +84,14 @@ class RandomProjection:
                 own = flat.slice(begin + a, min(WORDS, ends[j - 1] - begin - a)).dictionary_encode()
                 known = own.dictionary.to_pylist()
                 order = sorted(range(len(known)), key=known.__getitem__)
-                rows, place = np.stack([self.row(known[k]) for k in order]), np.empty(len(known), np.int64)
+                rows, place = self.rows([known[k] for k in order]), np.empty(len(known), np.int64)
                 place[order] = np.arange(len(known))
                 doc = np.repeat(np.arange(j - i), size[i:j])[a : a + WORDS]
                 key, n = np.unique(doc * len(rows) + place[own.indices.to_numpy()], return_counts=True)
                 doc, word = key // len(rows), key % len(rows)
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
                 for b, c in zip(first, [*first[1:], len(doc)]):
-                    out[i + doc[b]] += n[b:c] @ rows[word[b:c]]
+                    out[i + doc[b]] += n[b:c].astype(np.float64) @ rows[word[b:c]]
             i = j
         return out
 
