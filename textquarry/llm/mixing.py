@@ -13,7 +13,8 @@ shuffled once, to be packed, and tokens once, to meet their slots; all else move
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.bpe import Encoder, Vocabulary
+from textquarry.llm.bpe import PATTERN, Encoder, Vocabulary
 from textquarry.llm.common import slices, small_batches, stored, worker_state
 
 #: Tokens in a block, slots in a shard, power of a source's size that its target weight is, seed of the draws.
@@ -30,6 +31,12 @@ BLOCK, SHARD, ALPHA, SEED = 2048, 64, 0.7, 17
 #: Documents in a chunk of the corpus, about; shards whose counts are added up together.
 CHUNK, SHARDS = 4096, 4096
 PRIME = 2147483647
+#: PATTERN without its look-ahead, which tiktoken runs by an automaton in place of a backtracking engine. It cuts texts alike in which no white space follows white space and none ends the text.
+PLAIN = PATTERN.replace(r"|\s+(?!\S)", "")
+#: Stands for special tokens, which are never asked for: without any, tiktoken's search for them stops at every character.
+NEVER = "<|never|>"
+#: Python's white space holds all that tiktoken's pattern takes for it.
+_spaced = re.compile(r"\s(?:\s|\Z)").search
 
 
 def hashed(*parts: Column) -> Column:
@@ -77,6 +84,21 @@ class _Packer:
             self._close()
 
 
+def token_ids(v: Vocabulary) -> Callable[[str], np.ndarray]:
+    """A function that gives a text's token ids."""
+    special = {NEVER: max(v.ranks.values()) + 1}
+    whole = tiktoken.Encoding("mixing", pat_str=v.pattern, mergeable_ranks=v.ranks, special_tokens=special)
+    plain = tiktoken.Encoding("mixing-plain", pat_str=PLAIN, mergeable_ranks=v.ranks, special_tokens=special) if v.pattern == PATTERN else whole
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return (plain if _spaced(text) is None else whole).encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's stack ends at runs of about a million spaces
+            return np.frombuffer(Encoder(v).encode([text])[0], np.int32)
+
+    return ids
+
+
 def _bounds(raw: bytes, sizes: np.ndarray) -> np.ndarray:
     """Where each token of a text ends, in bytes, moved on to the next character's start."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -104,15 +126,7 @@ def blocks(docs: DataFrame, vocabulary: Vocabulary, block: int = BLOCK, keep: tu
         sizes = np.zeros(max(v.ranks.values()) + 1, np.int64)
         for token, rank in v.ranks.items():
             sizes[rank] = len(token)
-        fast = tiktoken.Encoding("mixing", pat_str=v.pattern, mergeable_ranks=v.ranks, special_tokens={})
-
-        def ids(text: str) -> np.ndarray:
-            try:
-                return fast.encode_to_numpy(text, disallowed_special=())
-            except ValueError:  # its pattern's stack ends at runs of about a million spaces
-                return np.frombuffer(Encoder(v).encode([text])[0], np.int32)
-
-        return ids, sizes
+        return token_ids(v), sizes
 
     def batch_of(out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
         columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3))]
