@@ -772,3 +772,34 @@ def test_neighbours_odd(spark):
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], schema)
     assert rows_of(neighbours.neighbours(df, 3)) == {(1, 1, 2, 0.0), (1, 2, 3, 1.414214), (2, 1, 1, 0.0), (2, 2, 3, 1.414214), (3, 1, 1, 1.414214), (3, 2, 2, 1.414214)}
     assert neighbours.neighbours(df.limit(0)).count() == 0 and neighbours.neighbours(df.where("vec_id = 3")).count() == 0
+
+
+def test_near_duplicates_shared_passage_is_not_compared_by_text(spark, monkeypatch):
+    """Texts that share a passage and nothing else were all verified with one another; the sets of their words rule nearly all out."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    long = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(25)), *passage]) for _ in range(60)]
+    short = [" ".join([*passage[:9], *(f"w{rng.randrange(10**6)}" for _ in range(12))]) for _ in range(60)]
+    texts = [*long, *short, long[7].replace(long[7].split()[3], "other"), short[7].replace(short[7].split()[15], "other")]
+    seen, verified = [], near_dups._verified
+    monkeypatch.setattr(near_dups, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    monkeypatch.setattr(near_dups, "CELL", 16, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {tuple(r) for r in near_dups.near_duplicates(docs).collect()}
+    assert found == {(120, 7), (121, 67)}
+    assert sum(seen) < 600
+
+
+def test_word_bits_bound_the_edits():
+    rng = np.random.Generator(np.random.PCG64(3))
+    hashed = near_dups.Sketcher().hashes
+    for size in (64, near_dups.SHORT_BITS, near_dups.BITS):
+        for _ in range(200):
+            a = [f"w{i}" for i in rng.integers(0, 300, rng.integers(1, 120))]
+            b = list(a)
+            for _ in range(int(rng.integers(0, 12))):
+                at, kind = int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 3))
+                b[at : at + (kind > 0)] = [f"w{rng.integers(0, 300)}"] * (kind < 2)
+            x, y = (np.unpackbits(np.frombuffer(near_dups.word_bits(hashed(" ".join(t)), size), np.uint8)).astype(bool) for t in (a, b))
+            d = near_dups.banded(a, b, len(a) + len(b))
+            assert max((x & ~y).sum(), (y & ~x).sum()) <= d

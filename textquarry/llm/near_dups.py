@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import string
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Generations, map_slices, stored, worker_state
+from textquarry.llm.common import Generations, map_slices, small_batches, stored, worker_state
 from textquarry.llm.components import components
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, edit similarity of near duplicates.
@@ -34,6 +36,8 @@ SHORT = 30
 BROADCAST_IDS = 1_000_000
 #: Entries of a generation of a worker's cache of words.
 CACHE = 150_000
+#: Bits that stand for a text's words, a short text's; documents of a bucket that one task compares with as many others; pairs that it looks at together.
+BITS, SHORT_BITS, CELL, PAIRS = 1024, 256, 4096, 100_000
 
 _marks = string.punctuation + "«»„“”‘’‚…–—¿¡·"
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -51,6 +55,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _labelled(h: np.ndarray) -> np.ndarray:
+    """The hashes, those that occurred before mixed with how often."""
+    n = len(h)
+    at = np.argsort(h, kind="stable")
+    s = h[at]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    if new.all():
+        return h
+    place = np.arange(n)
+    label = np.empty(n, np.uint64)
+    label[at] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return np.where(label > 0, _mixed(h + label * np.uint64(0xD6E8FEB86659FD93)), h)
+
+
 class Sketcher:
     def __init__(self, k: int = K, order: int = ORDER, sketches: int = SKETCHES):
         self.k, self.order, self.sketches = k, order, sketches
@@ -66,8 +84,8 @@ class Sketcher:
         out = np.fromiter(self.known.find(chunks, self._hashed), np.uint64, len(chunks))
         return out[out > 0]
 
-    def __call__(self, text: str) -> tuple[bytes, np.ndarray, int] | None:
-        """A 128-bit hash of the whole sequence of words, the sketches, the number of words; None without words."""
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray, int, bytes] | None:
+        """A 128-bit hash of the whole sequence of words, the sketches, the number of words, their set as bits; None without words."""
         w = self.hashes(text)
         if not len(w):
             return None
@@ -76,15 +94,7 @@ class Sketcher:
         h = np.zeros(n, np.uint64)
         for i in range(min(self.k, len(w))):
             h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
-        # the label: how often the k-mer occurred before
-        at = np.argsort(h, kind="stable")
-        s = h[at]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        if not new.all():
-            place = np.arange(n)
-            label = np.empty(n, np.uint64)
-            label[at] = place - np.maximum.accumulate(np.where(new, place, 0))
-            h = np.where(label > 0, _mixed(h + label * np.uint64(0xD6E8FEB86659FD93)), h)
+        h = _labelled(h)
         out = np.empty(self.sketches, np.uint64)
         step = max(1, 2_000_000 // n)
         for j in range(0, self.sketches, step):
@@ -100,7 +110,7 @@ class Sketcher:
             for p in np.sort(np.stack(chosen), axis=0):
                 key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[p])
             out[j : j + len(x)] = key
-        return whole, out.view(np.int64), len(w)
+        return whole, out.view(np.int64), len(w), word_bits(w)
 
 
 def banded(a: list[str], b: list[str], most: int) -> int | None:
@@ -162,6 +172,13 @@ def similar(a: list[str], b: list[str], least: float = SIMILARITY) -> float | No
     return None if d is None else 1 - d / longer
 
 
+def word_bits(w: np.ndarray, size: int = BITS) -> bytes:
+    """The words (from their hashes), each with how often it occurred before, as a set of so many bits. An edit sets one bit and clears one at most, so that the edits between two texts are no fewer than the bits that one has and the other hasn't."""
+    bits = np.zeros(size, bool)
+    bits[(_labelled(w) >> np.uint64(40)) % np.uint64(size)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _edits(words: int, least: float) -> int:
     """The most edits between texts of which the longer has so many words."""
     return int((1 - least) * words + 1e-9)
@@ -205,22 +222,84 @@ def _short_pairs(docs: DataFrame, least: float) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketcher = worker_state("near_dups", (), Sketcher)
-        ids, keys, own = [], [], []
+        ids, keys, own, words, bits = [], [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            pieces, runs = short_keys(sketcher.hashes(text), least)
-            ids += [doc_id] * (len(pieces) + len(runs))
+            w = sketcher.hashes(text)
+            pieces, runs = short_keys(w, least)
+            n = len(pieces) + len(runs)
+            ids += [doc_id] * n
             keys += pieces + runs
             own += [True] * len(pieces) + [False] * len(runs)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.bool_())], names=["doc_id", "key", "own"])
+            words += [len(w)] * n
+            bits += [word_bits(w, SHORT_BITS)] * n
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.bool_()), pa.array(words, pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "key", "own", "words", "bits"])
 
-    keys = stored(map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, key bigint, own boolean"), "short_keys")
-    pieces = keys.where("own").select("key", F.col("doc_id").alias("a"))
-    runs = keys.where("NOT own").select("key", F.col("doc_id").alias("b"))
-    return pieces.join(runs, "key").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    keys = stored(map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, key bigint, own boolean, words int, bits binary"), "short_keys")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some"), F.min("own").alias("all"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("some AND NOT all AND lo < hi").select("key", "n")
+    return _alike(keys.join(sizes, "key").select("key", "n", "doc_id", F.col("doc_id").alias("label"), "words", F.when(F.col("own"), 1).otherwise(2).alias("role"), "bits"), least)
+
+
+def _alike(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v), u < v: pairs of rows (key, n: rows of the key, doc_id, label, words, role, bits) of one key that differ in label and whose numbers and bits of words don't rule out that they are similar. Of a pair, one has the role 1 and the other 2; 3 is both.
+
+    No text is read. A key's rows are dealt out to blocks and each two blocks are compared by one
+    task, so that neither its memory nor its work grows with the key's rows.
+    """
+    blocks = F.ceil(F.col("n") / CELL)
+    block = F.pmod(F.xxhash64("doc_id"), blocks)
+    rows = rows.withColumns({"blocks": blocks, "block": block})
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
+    rows = rows.select("key", F.explode(cells).alias("cell"), "block", F.col("blocks"), "doc_id", "label", "words", "role", "bits")
+    small_batches(rows.sparkSession)
+    # a cell of two blocks compares across them, one of a single block inside it
+    rows = rows.select("key", "cell", F.when(F.col("cell") % F.col("blocks") == F.floor(F.col("cell") / F.col("blocks")), -1).otherwise(F.col("block")).alias("block"), "doc_id", "label", "words", "role", "bits")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda batches: _pairs_of(batches, least), "u bigint, v bigint").distinct()
+
+
+def _pairs_of(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of _alike() from its rows, sorted by key and cell; a group that goes on in the next batch waits for it."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        last = (pc.equal(now["key"], now["key"][-1]).to_numpy() & pc.equal(now["cell"], now["cell"][-1]).to_numpy()).argmax()
+        if last:
+            yield from _pairs(now.slice(0, last), least)
+        rest = now.slice(last)
+    if rest is not None:
+        yield from _pairs(rest, least)
+
+
+def _pairs(rows: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups."""
+    key, cell, block, doc, label, words, role = (rows[c].to_numpy() for c in ("key", "cell", "block", "doc_id", "label", "words", "role"))
+    n, words = len(key), words.astype(np.int64)
+    group = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+    order = np.lexsort((words, group))
+    block, doc, label, words, role, group = block[order], doc[order], label[order], words[order], role[order], group[order]
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(n, -1)[order]
+    held = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    # each row with those behind it in its group that aren't too long for it
+    wide = np.int64(1) << 40
+    ends = np.searchsorted(group * wide + words, group * wide + (words / least).astype(np.int64) + 2, side="right")
+    counts = ends - np.arange(n) - 1
+    upto = np.cumsum(counts)
+    for a in range(0, int(upto[-1]), PAIRS):
+        at = np.arange(a, min(a + PAIRS, int(upto[-1])))
+        i = np.searchsorted(upto, at, side="right")
+        j = at - (upto[i] - counts[i]) + i + 1
+        most = ((1 - least) * words[j] + 1e-9).astype(np.int64)
+        ok = (label[i] != label[j]) & (words[j] - words[i] <= most) & ((block[i] < 0) | (block[i] != block[j])) & ((role[i] & 1) & (role[j] >> 1) | (role[i] >> 1) & (role[j] & 1)).astype(bool)
+        i, j, most = i[ok], j[ok], most[ok]
+        common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        ok = np.maximum(held[i], held[j]) - common <= most
+        u, v = doc[i[ok]], doc[j[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, sketches, words) of each document with words."""
+    """(doc_id, whole, sketches, words, bits) of each document with words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketcher = worker_state("near_dups", (), Sketcher)
@@ -228,9 +307,9 @@ def signatures(docs: DataFrame) -> DataFrame:
         keep = [i for i, f in enumerate(found) if f]
         flat = np.concatenate([found[i][1] for i in keep]) if keep else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * SKETCHES), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.binary()), lists, pa.array([found[i][2] for i in keep], pa.int32())], names=["doc_id", "whole", "sketches", "words"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.binary()), lists, pa.array([found[i][2] for i in keep], pa.int32()), pa.array([found[i][3] for i in keep], pa.binary())], names=["doc_id", "whole", "sketches", "words", "bits"])
 
-    return map_slices(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, whole binary, sketches array<bigint>, words int")
+    return map_slices(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, whole binary, sketches array<bigint>, words int, bits binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -267,7 +346,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows with one doc_id are one document, with the least of their texts. Equal texts, and texts
     equal but for case, white space and marks at the words' ends, are always in one group.
     Texts of any length are sketched and aligned whole; every pair that shares a sketch, or a
-    piece where the shorter text has fewer than SHORT words, is verified unless the numbers of
+    piece where the shorter text has fewer than SHORT words, is verified unless the numbers or the counts of
     their words rule it out or other verified pairs already put both in one group. Other columns
     are ignored whatever their names. An empty table gives an empty one.
     """
@@ -291,11 +370,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = stored(_verified(tried, texts, least), "edges")
     label = components(edges)
     labelled = stored(members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "words", F.coalesce("label", "doc_id").alias("label")), "labelled")
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = labelled.join(split, "key")
-    other = open_.select("key", F.col("doc_id").alias("v"), F.col("label").alias("label_v"), F.col("words").alias("words_v"))
-    rest = open_.join(other, "key").where("label <> label_v AND doc_id < v").where(_alike_lengths("words", "words_v", least)).select(F.col("doc_id").alias("u"), "v").distinct().join(tried, ["u", "v"], "left_anti")
-    more = stored(_verified(rest, texts, least), "edges")
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    open_ = stored(labelled.join(split, "key"), "open")
+    bits = sig.select("doc_id", "bits").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    rest = _alike(open_.join(bits, "doc_id").select("key", "n", "doc_id", "label", "words", F.lit(3).alias("role"), "bits"), least)
+    more = stored(_verified(stored(rest.join(tried, ["u", "v"], "left_anti"), "rest"), texts, least), "edges")
     if more.limit(1).count():
         label = components(edges.union(more))
     groups = label.select(F.col("id").alias("doc_id"), F.col("label").alias("kept_doc_id"))
