@@ -8,9 +8,11 @@ folding, what a dot and a dollar match, POSIX classes, group names.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex as python_regex
 from pyspark.sql import Column
@@ -231,8 +233,17 @@ class Matcher:
 
         @F.arrow_udf(SPANS)
         def run(texts: pa.Array) -> pa.Array:
-            kind = pa.list_(pa.struct([("offset", pa.int64()), ("pattern_index", pa.int32()), ("length", pa.int64())]))
-            return pa.array([None if t is None else [{"offset": a, "pattern_index": n, "length": b - a} for a, b, n in find(t)] for t in texts.to_pylist()], kind)
+            begins, ends, indices, offsets = array("q"), array("q"), array("i"), array("i", [0])
+            for t in texts:
+                if t.is_valid:
+                    for a, b, n in find(t.as_py()):
+                        begins.append(a)
+                        ends.append(b)
+                        indices.append(n)
+                offsets.append(len(begins))
+            offset = np.frombuffer(begins, np.int64)
+            found = pa.StructArray.from_arrays([pa.array(offset), pa.array(np.frombuffer(indices, np.int32)), pa.array(np.frombuffer(ends, np.int64) - offset)], names=["offset", "pattern_index", "length"])
+            return pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False)), found)
 
         return run(text)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.storage import spread
+from textquarry.storage import small_batches, spread
 
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,15 +55,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch between Spark and Python, where the session has Spark's own default: texts are long, and both sides hold whole batches.
-BATCH, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_ROWS, "10000") == "10000":
-        spark.conf.set(_ROWS, str(BATCH))
-
-
 _state: dict[str, tuple] = {}
 
 

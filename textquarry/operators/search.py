@@ -17,6 +17,7 @@ from textquarry.corpus import Corpus
 from textquarry.functions.patterns import Matcher, simple_glob, word
 from textquarry.functions.scoring import bm25, bm25_tf
 from textquarry.functions.text import lines
+from textquarry.storage import small_batches
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,7 @@ def ranked(corpus: Corpus, spec: SearchSpec, top: int) -> DataFrame:
 def spans(corpus: Corpus, spec: SearchSpec) -> DataFrame:
     """(path, offset, pattern_index, length) of all matches in the documents' texts, in bytes."""
     docs = corpus.docs.where(F.col("text").isNotNull() & spec.matcher.in_text(F.col("text"), spec.strict))
+    small_batches(docs.sparkSession)
     return docs.select("path", F.explode(spec.matcher.spans(F.col("text"))).alias("s")).select("path", "s.*")
 
 
