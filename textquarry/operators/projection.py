@@ -6,16 +6,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.corpus import Corpus
 from textquarry.functions.text import plain_tokens
 from textquarry.functions.vectors import cosine
+from textquarry.storage import small_batches
 
-_rows: dict[tuple[int, int, int], np.ndarray] = {}
-#: Bytes of rows that a process keeps; words whose rows are added up together.
-ROWS_BYTES, WORDS = 112 << 20, 20_000
+#: Bytes of rows that a process keeps; words whose rows are added up together; bytes of a word that are hashed in bulk.
+ROWS_BYTES, WORDS, BULK = 112 << 20, 20_000, 40
+
+
+class _Rows:
+    """Rows of buckets in the order in which they were asked for: all are in one matrix, `place` has the row of each bucket, -1 where there's none yet."""
+
+    def __init__(self, buckets: int, dim: int):
+        self.place, self.n = np.full(buckets, -1, np.int32), 0
+        # pages that aren't touched take no memory
+        self.table = np.empty((max(1, min(buckets, ROWS_BYTES // (4 * dim))), dim), np.float32)
+
+
+_kept: dict[tuple[int, int, int], _Rows] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -32,6 +45,24 @@ def fnv1a(term: str) -> int:
     return h
 
 
+def hashed(terms: pa.StringArray) -> np.ndarray:
+    """fnv1a() of each term: those of up to BULK bytes a byte at a time for all of them."""
+    if not len(terms):
+        return np.empty(0, np.uint64)
+    size = pc.binary_length(terms).to_numpy().astype(np.int64)
+    start = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms)].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+    out = np.full(len(terms), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(size, kind="stable")
+    sizes = size[order]
+    for i in range(min(BULK, int(sizes[-1]))):
+        own = order[np.searchsorted(sizes, i, side="right") :]
+        out[own] = (out[own] ^ data[start[own] + i]) * np.uint64(0x100000001B3)
+    for i in np.flatnonzero(size > BULK).tolist():
+        out[i] = fnv1a(terms[i].as_py())
+    return out
+
+
 @dataclass(frozen=True)
 class RandomProjection:
     """dim: length of the vectors; buckets: distinct rows, into which terms are hashed; seed."""
@@ -49,18 +80,29 @@ class RandomProjection:
         size = np.sqrt(np.float32(-2) * np.log(u))
         return np.concatenate([size * np.cos(v), size * np.sin(v)], axis=1)[:, : self.dim] / np.float32(np.sqrt(self.dim))
 
+    def _placed(self, terms: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """A matrix and the row of each term in it."""
+        bucket = (hashed(terms) % np.uint64(self.buckets)).astype(np.int64)
+        kept = _kept.get((self.seed, self.dim, self.buckets))
+        if kept is None:
+            _kept.clear()
+            kept = _kept[self.seed, self.dim, self.buckets] = _Rows(self.buckets, self.dim)
+        missing = np.unique(bucket[kept.place[bucket] < 0])
+        if kept.n + len(missing) > len(kept.table):
+            kept.place[:], kept.n, missing = -1, 0, np.unique(bucket)
+            if len(missing) > len(kept.table):
+                return self._made(missing), np.searchsorted(missing, bucket)
+        for at in range(0, len(missing), 1024):
+            own = missing[at : at + 1024]
+            kept.table[kept.n : kept.n + len(own)] = self._made(own)
+            kept.place[own] = np.arange(kept.n, kept.n + len(own))
+            kept.n += len(own)
+        return kept.table, kept.place[bucket]
+
     def rows(self, terms: list[str]) -> np.ndarray:
         """Each term's row, whose entries have variance 1 / dim."""
-        keys = [(self.seed, self.dim, fnv1a(t) % self.buckets) for t in terms]
-        missing = sorted({k for k in keys if k not in _rows})
-        if missing:
-            if (len(_rows) + len(missing)) * self.dim * 4 > ROWS_BYTES:
-                _rows.clear()
-                missing = sorted(set(keys))
-            for at in range(0, len(missing), 1024):
-                own = missing[at : at + 1024]
-                _rows.update(zip(own, self._made(np.array([k[2] for k in own]))))
-        return np.stack([_rows[k] for k in keys]) if keys else np.zeros((0, self.dim), np.float32)
+        table, place = self._placed(pa.array(terms, pa.string()))
+        return table[place]
 
     def row(self, term: str) -> np.ndarray:
         return self.rows([term])[0]
@@ -82,16 +124,16 @@ class RandomProjection:
             begin = ends[i] - size[i]
             for a in range(0, ends[j - 1] - begin, WORDS):
                 own = flat.slice(begin + a, min(WORDS, ends[j - 1] - begin - a)).dictionary_encode()
-                known = own.dictionary.to_pylist()
-                order = sorted(range(len(known)), key=known.__getitem__)
-                rows, place = self.rows([known[k] for k in order]), np.empty(len(known), np.int64)
-                place[order] = np.arange(len(known))
+                order = pc.sort_indices(own.dictionary).to_numpy()
+                table, row = self._placed(own.dictionary.take(pa.array(order)))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
                 doc = np.repeat(np.arange(j - i), size[i:j])[a : a + WORDS]
-                key, n = np.unique(doc * len(rows) + place[own.indices.to_numpy()], return_counts=True)
-                doc, word = key // len(rows), key % len(rows)
+                key, n = np.unique(doc * len(order) + place[own.indices.to_numpy()], return_counts=True)
+                doc, row, n = key // len(order), row[key % len(order)], n.astype(np.float64)
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
                 for b, c in zip(first, [*first[1:], len(doc)]):
-                    out[i + doc[b]] += n[b:c].astype(np.float64) @ rows[word[b:c]]
+                    out[i + doc[b]] += n[b:c] @ table[row[b:c]]
             i = j
         return out
 
@@ -111,5 +153,6 @@ class RandomProjection:
         """(path, score): cosine of each document with the query."""
         q = self.project(F.lit(query))
         docs = corpus.docs.where("text IS NOT NULL")
+        small_batches(docs.sparkSession)
         wanted = F.broadcast(docs.sparkSession.range(1).select(q.alias("q")))
         return docs.select("path", self.project(F.col("text")).alias("v")).crossJoin(wanted).select("path", cosine(F.col("v"), F.col("q")).alias("score"))
