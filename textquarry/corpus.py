@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Corpus:
-    """docs: path (any type that can be ordered), text (null: not readable), size (bytes as stored)."""
+    """docs: path (any type that can be ordered), text (null: not readable), size (bytes as stored). distinct: no path comes twice."""
 
     docs: DataFrame
     single_file: bool = False
+    distinct: bool = False
 
     @classmethod
     def from_table(cls, df: DataFrame, path: str = "doc_id", text: str = "text") -> Corpus:
@@ -26,4 +27,4 @@ class Corpus:
         from textquarry.sources.extract import extracted
         from textquarry.sources.filetree import files, is_file
 
-        return cls(extracted(files(spark, root, gitignore).where("NOT is_dir"), cache), is_file(root))
+        return cls(extracted(files(spark, root, gitignore).where("NOT is_dir"), cache), is_file(root), True)
