@@ -39,7 +39,7 @@ def test_postings_of_distinct_paths_are_not_shuffled(spark):
     post = postings(Corpus.from_table(docs))
     assert "Exchange" not in _plan(post)
     assert {tuple(r) for r in post.collect()} == {(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 1)}
-    assert _plan(tfidf(Corpus.from_table(docs))).count("MapInArrow") == 2
+    assert "MapInArrow" not in _plan(tfidf(Corpus.from_table(docs)))  # terms are counted once, not for each side of the join
 
 
 def test_postings_of_equal_paths_are_added_up(spark):

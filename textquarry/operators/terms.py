@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StringType
 
 from textquarry.corpus import Corpus
 from textquarry.functions.text import token_counts
-from textquarry.storage import small_batches
+from textquarry.storage import small_batches, written
 
 #: Postings that a worker passes on together.
 POSTINGS = 50_000
@@ -48,9 +48,8 @@ def document_frequencies(post: DataFrame) -> DataFrame:
 
 
 def tfidf(corpus: Corpus) -> DataFrame:
-    """(path, term, tf, df, weight): tf * ln(N / df) where it's above zero, so that terms of all documents are left out. N counts the documents with a text."""
-    # both sides of the join read one exchange
-    post = postings(corpus).repartition("term")
+    """(path, term, tf, df, weight): tf * ln(N / df) where it's above zero, so that terms of all documents are left out. Both sides of its join read postings that are written at the call. N counts the documents with a text."""
+    post = written(postings(corpus), "postings")
     n = corpus.docs.where("text <> ''").agg(F.count(F.lit(1)).alias("n_docs"))
     out = post.join(document_frequencies(post), "term").crossJoin(F.broadcast(n)).withColumn("weight", F.col("tf") * F.log(F.col("n_docs") / F.col("df")))
     return out.where("weight > 0").select("path", "term", "tf", "df", "weight")
